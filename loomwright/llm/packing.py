@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,8 +22,9 @@ LENGTH, END = 1024, 2
 #: A text is encoded in chunks that begin where the tokenizer begins a new pre-token, whatever
 #: stands around them: at white space, of which only the last before a word belongs to the word.
 CHUNKS = re.compile(r"\s+(?!\S)|\s?\S+")
-#: Texts in which this is not found fall into words between single spaces and line ends.
-UNEVEN = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
+#: White space other than the space and the line end. Without it, and without two of those side by
+#: side or at an end, a text falls into words between single spaces and line ends.
+OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: White space for Python's patterns but not for the tokenizer's.
 ODD = re.compile("[\x1c-\x1f]")
 #: Chunks remembered by a Python worker (twice as many at most), and the longest of them.
@@ -37,6 +39,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def chunks_of(text: str) -> list[str]:
+    if ODD.search(text):
+        return [text]
+    uneven = text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(x in text for x in ("  ", "\n\n", " \n", "\n "))
+    if uneven or OTHER.search(text):
+        return CHUNKS.findall(text)
+    return text.replace(" ", "\x1c ").replace("\n", "\x1c\n").split("\x1c")
+
+
 class Encoder:
     """Token ids as little-endian 32-bit words, remembering those of short chunks."""
 
@@ -50,40 +61,28 @@ class Encoder:
 
     def fresh(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def look_up(self, chunks: list[str]) -> dict[str, bytes]:
-        """A table that has the ids of all ``chunks``."""
-        young, old = self.known, self.older
-        new = set(chunks).difference(young)
-        if new:
-            again = new.intersection(old)
-            young.update((c, old[c]) for c in again)
-            new = list(new - again)
-            ids = dict(zip(new, self.fresh(new), strict=True))
-            if any(len(c) > LONGEST for c in new):
-                table = young | ids
-                young.update((c, i) for c, i in ids.items() if len(c) <= LONGEST)
-            else:
-                young.update(ids)
-                table = young
-            if len(young) > REMEMBERED:
-                self.known, self.older = {}, young
-            return table
-        return young
+        return [array("I", x.ids).tobytes() for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, of about GROUP characters in all."""
-        chunked: list[list[str] | None] = []
+        get, chunked, missing = self.known.get, [], set()
         for t in texts:
-            if ODD.search(t):
-                chunked.append(None)
-            elif UNEVEN.search(t):
-                chunked.append(CHUNKS.findall(t))
-            else:  # the same chunks, cut faster
-                chunked.append(t.replace(" ", "\x1c ").replace("\n", "\x1c\n").split("\x1c") if t else [])
-        table = self.look_up([c for chunks in chunked if chunks for c in chunks])
-        return [self.fresh([t])[0] if chunks is None else b"".join(map(table.__getitem__, chunks)) for t, chunks in zip(texts, chunked, strict=True)]
+            chunks = chunks_of(t)
+            parts = list(map(get, chunks))
+            if None in parts:
+                missing.update([c for c, p in zip(chunks, parts, strict=True) if p is None])
+            chunked.append((chunks, parts))
+        if not missing:
+            return [b"".join(parts) for _, parts in chunked]
+        again = missing.intersection(self.older)
+        own = {c: self.older[c] for c in again}
+        new = list(missing - again)
+        own.update(zip(new, self.fresh(new), strict=True))
+        out = [b"".join([p or own[c] for c, p in zip(chunks, parts, strict=True)]) for chunks, parts in chunked]
+        self.known.update({c: i for c, i in own.items() if len(c) <= LONGEST})
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        return out
 
     def encode_all(self, texts: Iterator[str | None]) -> Iterator[bytes]:
         """Ids of texts of any length, in bounded groups."""
