@@ -1,22 +1,27 @@
-"""Cross-site boilerplate lines, found by how many distinct sites show them. Native Spark only."""
+"""Cross-site boilerplate lines, found by how many distinct sites show them. Native Spark only.
+
+The lines' keys are computed once and written to the checkpoint folder; texts are read again only
+to take lines out.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What trimming takes off both ends of a line.
-EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+from .common import checkpointed
+
+#: What trimming takes off both ends of a line, and what stands between words.
+SPACES = " \t\n\x0b\f\r"
 
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, pos, site, key): the lines of at least ``min_words`` words; key is the trimmed line's MD5."""
     exploded = docs.select("doc_id", F.col("source").alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    line = F.regexp_replace("line", EDGES, "")
+    enough = rf"^(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{min_words - 1}}}[^\x20\x09-\x0D]"
     return (
-        exploded.select("doc_id", "pos", "site", line.alias("line"))
-        .filter(F.size(F.split("line", r"[\x20\x09-\x0D]+")) >= min_words)
-        .filter("line <> ''")
+        exploded.select("doc_id", "pos", "site", F.btrim("line", F.lit(SPACES)).alias("line"))
+        .filter(F.col("line").rlike(enough))
         .select("doc_id", "pos", "site", F.unhex(F.md5("line")).alias("key"))
     )
 
@@ -58,7 +63,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, min_words: int = 5) -> Dat
     stay as they are, so no wording is lost. Null texts stay null with 0 lines; an empty text is one
     empty line; repeated rows lose the same lines; rows with a null doc_id are left as they are.
     """
-    found = lines_of(docs.filter("doc_id is not null"), min_words)
+    found = checkpointed(lines_of(docs.filter("doc_id is not null"), min_words))
     spread = spread_lines(found, min_sites)
     first = (F.col("f.doc_id") == F.col("s.doc_id")) & (F.col("f.pos") == F.col("s.pos"))
     gone = (
