@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import os
 import re
 import zlib
 from array import array
@@ -19,18 +21,10 @@ from .common import checkpointed
 
 TOKENIZER = "byte_bpe_50k.json"
 LENGTH, END = 1024, 2
-#: A text is encoded in chunks that begin where the tokenizer begins a new pre-token, whatever
-#: stands around them: at white space, of which only the last before a word belongs to the word.
-CHUNKS = re.compile(r"\s+(?!\S)|\s?\S+")
-#: White space other than the space and the line end. Without it, and without two of those side by
-#: side or at an end, a text falls into words between single spaces and line ends.
-OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: White space for Python's patterns but not for the tokenizer's.
-ODD = re.compile("[\x1c-\x1f]")
-#: Chunks remembered by a Python worker (twice as many at most), and the longest of them.
-REMEMBERED, LONGEST = 400_000, 48
-#: Characters encoded together.
-GROUP = 1 << 21
+#: Characters of which both libraries hold the same view of what is a letter, a number and white
+#: space. Texts with any other go through ``tokenizers``, which defines the ids; the rest through
+#: ``tiktoken`` with the same vocabulary and pattern, which gives the same ids three times as fast.
+OTHER = re.compile("[^\x00-\x1b\x20-\x7f\xa1-\u024f\u2013\u2014\u2018-\u201d\u2026]")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,61 +33,32 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def chunks_of(text: str) -> list[str]:
-    if ODD.search(text):
-        return [text]
-    uneven = text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(x in text for x in ("  ", "\n\n", " \n", "\n "))
-    if uneven or OTHER.search(text):
-        return CHUNKS.findall(text)
-    return text.replace(" ", "\x1c ").replace("\n", "\x1c\n").split("\x1c")
-
-
 class Encoder:
-    """Token ids as little-endian 32-bit words, remembering those of short chunks."""
+    """Token ids as little-endian 32-bit words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def fresh(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, of about GROUP characters in all."""
-        get, chunked, missing = self.known.get, [], set()
-        for t in texts:
-            chunks = chunks_of(t)
-            parts = list(map(get, chunks))
-            if None in parts:
-                missing.update([c for c, p in zip(chunks, parts, strict=True) if p is None])
-            chunked.append((chunks, parts))
-        if not missing:
-            return [b"".join(parts) for _, parts in chunked]
-        again = missing.intersection(self.older)
-        own = {c: self.older[c] for c in again}
-        new = list(missing - again)
-        own.update(zip(new, self.fresh(new), strict=True))
-        out = [b"".join([p or own[c] for c, p in zip(chunks, parts, strict=True)]) for chunks, parts in chunked]
-        self.known.update({c: i for c, i in own.items() if len(c) <= LONGEST})
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        return out
-
-    def encode_all(self, texts: Iterator[str | None]) -> Iterator[bytes]:
-        """Ids of texts of any length, in bounded groups."""
-        group, size = [], 0
-        for t in texts:
-            group.append(t or "")
-            size += len(group[-1])
-            if size >= GROUP:
-                yield from self.encode(group)
-                group, size = [], 0
-        yield from self.encode(group)
+        ranks, self.fast = path.removesuffix(".json") + ".tiktoken", None
+        if os.path.exists(ranks):
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+
+    def defined(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.fast is None or (not text.isascii() or not text.isprintable()) and OTHER.search(text):
+            return self.defined(text)
+        return array("I", self.fast.encode_ordinary(text)).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -122,7 +87,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, with_
         row = TaskContext.get().partitionId() << 36
         for pdf in batches:
             out: list[tuple] = []
-            for doc_id, ids in zip(pdf["doc_id"].tolist(), enc.encode_all(pdf["text"]), strict=True):
+            for doc_id, ids in zip(pdf["doc_id"].tolist(), map(enc.encode, pdf["text"]), strict=True):
                 start = 0
                 doc_id = None if doc_id != doc_id or doc_id is None else int(doc_id)
                 for k, p in enumerate(cut(ids + end, length)):
