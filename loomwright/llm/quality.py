@@ -129,8 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         net = Net().fit(texts, np.array(ys, np.float64))
         yield pd.DataFrame({"p": [np.concatenate([net.p[k].ravel() for k in shapes]).astype("<f4").tobytes()]})
 
-    flat = np.frombuffer(chosen.coalesce(1).mapInPandas(learn, "p binary").first()["p"], "<f4")
-    net, at = Net(), 0
+    row = chosen.coalesce(1).mapInPandas(learn, "p binary").first()
+    if row is None:  # nothing to learn from, not even an empty partition
+        return Net().fit([], np.zeros(0))
+    flat, net, at = np.frombuffer(row["p"], "<f4"), Net(), 0
     for k, (shape, size) in shapes.items():
         net.p[k] = flat[at : at + size].reshape(shape).copy()
         at += size

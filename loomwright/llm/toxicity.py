@@ -102,6 +102,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         yield pd.DataFrame({"at": [kept.astype("<u4").tobytes()], "w": [w[kept].astype("<f4").tobytes()], "b": [b]})
 
     model = chosen.coalesce(1).mapInPandas(learn, "at binary, w binary, b double").first()
+    if model is None:  # nothing to learn from, not even an empty partition
+        return fit([], np.zeros(0))
     weights = np.zeros(1 << BITS, np.float32)
     weights[np.frombuffer(model["at"], "<u4")] = np.frombuffer(model["w"], "<f4")
     return weights, model["b"]
