@@ -10,6 +10,7 @@ handed down and every block is repaired by itself.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -98,10 +99,16 @@ def through(parts: list[np.ndarray], start: int, end: int) -> list[int]:
     return states
 
 
+@lru_cache(maxsize=8)
+def choices(costs: Costs) -> list[list[list[Step]]]:
+    return [steps(r, costs) for r in range(4)]
+
+
 def repair(roles: list[int], start: int, end: int, costs: Costs = Costs()) -> list[Step]:
-    """The cheapest steps from ``start`` to ``end``, the preferred among equals from the first on."""
-    options = [steps(r, costs) for r in range(4)]
-    togo = [[0 if s == end else INF for s in range(4)]]
+    """The cheapest steps from ``start`` to ``end`` (-1: to any legal end), the preferred among
+    equals from the first on."""
+    options = choices(costs)
+    togo = [[0 if s == end else INF for s in range(4)] if end >= 0 else ending(costs).tolist()]
     for r in reversed(roles):
         rest = togo[-1]
         togo.append([min((o.cost + rest[o.to] for o in options[r][s]), default=INF) for s in range(4)])
@@ -163,7 +170,8 @@ def format_chats(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
         return pd.DataFrame({"conv": [pdf["conv"].iloc[0]], "node": [pdf["node"].iloc[0] // BLOCK], "m": [m.ravel()]})
 
     up = F.floor(F.col("node") / BLOCK).alias("up")
-    levels = [checkpointed(placed.groupBy("conv", "block").applyInPandas(leaf, cost_matrix))]
+    wide = placed.filter("block > 0").select("conv").distinct()  # all others are a block each, whose end is free
+    levels = [checkpointed(placed.join(wide, "conv", "left_semi").groupBy("conv", "block").applyInPandas(leaf, cost_matrix))]
     while (levels[-1].agg(F.max("node")).first()[0] or 0) > 0:
         levels.append(checkpointed(levels[-1].groupBy("conv", up).applyInPandas(parent, cost_matrix)))
 
@@ -198,7 +206,8 @@ def format_chats(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
         out["rendered"] = [rendered(d, t, p == 0, z) for d, t, p, z in zip(done, text, pdf["pos"], last, strict=True)]
         return out
 
-    joined = placed.join(given.select("conv", F.col("node").alias("block"), "s", "t", "final"), ["conv", "block"])
+    joined = placed.join(given.select("conv", F.col("node").alias("block"), "s", "t", "final"), ["conv", "block"], "left")
+    joined = joined.fillna({"s": START, "t": -1, "final": True})
     return joined.groupBy("conv", "block").applyInPandas(
         block, "conv_id long, pos long, turn long, role string, text string, new_role string, action string, inserted string, cost long, closing string, rendered string"
     )
