@@ -6,8 +6,8 @@ its norm, and the inner product of the turned unit vector with its code. From th
 
     |o| |q| epsilon sqrt((1 - <code, o'>^2) / <code, o'>^2 / (d - 1))
 
-except with a probability that falls with exp(-epsilon^2 / 2). Vectors whose upper bound reaches
-the k-th largest lower bound are compared exactly.
+except with a probability that falls with exp(-epsilon^2 / 2). The vectors that seem nearest are
+compared exactly, then all whose upper bound reaches the k-th largest of these products.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ EPSILON = 3.0
 CELL_ROWS, CELL_QUERIES = 8192, 4096
 #: Pairs estimated at a time.
 AT_ONCE = 1 << 21
+#: This many times k vectors that seem nearest are compared exactly to bound the k-th nearest.
+WIDE = 16
+#: Pairs compared exactly at a time, and how far two ways to sum a product may lie apart, as a share of the norms.
+PAIRS, ROUNDING = 1 << 15, 1e-6
 
 
 def rotation(d: int) -> np.ndarray:
@@ -63,20 +67,24 @@ def search_cell(ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, corr: np.
     out = []
     step = max(1, AT_ONCE // max(1, len(ids)))
     for at in range(0, len(qids), step):
-        q = slice(at, at + step)
-        estimate = (turned[q] @ signs.T) * gain
-        error = qnorm[q, None] * spread
-        lower = estimate - error
-        lower[qids[q, None] == ids] = -np.inf
-        if len(ids) > k:
-            floor = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k]
-        else:
-            floor = np.full(len(lower), -np.inf, np.float32)
-        qi, ci = np.nonzero((estimate + error >= floor[:, None]) & (qids[q, None] != ids))
-        score = np.zeros(len(qi))
-        for i in range(0, len(qi), 1 << 17):
-            part = slice(i, i + (1 << 17))
-            score[part] = exact(queries[at + qi[part]], vecs[ci[part]])
+        asked, own = queries[at : at + step], qids[at : at + step, None] == ids
+        estimate = (turned[at : at + step] @ signs.T) * gain
+        estimate[own] = -np.inf
+        floor = np.full(len(asked), -np.inf)
+        wide = WIDE * k
+        if len(ids) > wide:  # the k-th largest exact product of those that seem nearest: the k-th nearest is no farther
+            seem = np.argpartition(estimate, len(ids) - wide, axis=1)[:, len(ids) - wide :]
+            score = np.stack([vecs[s] @ v for s, v in zip(seem, asked, strict=True)])
+            score[np.take_along_axis(own, seem, axis=1)] = -np.inf
+            floor = np.partition(score, wide - k, axis=1)[:, wide - k]
+        near = floor - ROUNDING * qnorm[at : at + step] * norms.max(initial=0)
+        estimate += qnorm[at : at + step, None] * spread
+        qi, ci = np.nonzero(estimate >= near[:, None].astype(np.float32))
+        kept = np.concatenate([
+            np.einsum("ij,ij->i", asked[qi[i : i + PAIRS]], vecs[ci[i : i + PAIRS]]) >= near[qi[i : i + PAIRS]] for i in range(0, len(qi), PAIRS)
+        ] or [np.zeros(0, bool)]) & ~own[qi, ci]
+        qi, ci = qi[kept], ci[kept]
+        score = exact(asked[qi], vecs[ci])
         order = np.lexsort((ids[ci], -score, qi))
         qi, ci, score = qi[order], ci[order], score[order]
         best = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
