@@ -10,6 +10,7 @@ handed down and every block is repaired by itself.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -191,10 +192,14 @@ def format_chats(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
         met = own.join(given.select("conv", F.col("node").alias("up"), "s", "t", "final"), ["conv", "up"])
         given = met.groupBy("conv", "up").applyInPandas(down, "conv string, node long, s int, t int, final boolean")
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        done = repair([number(r) for r in pdf["role"]], int(pdf["s"].iloc[0]), int(pdf["t"].iloc[0]), costs)
-        last = [bool(pdf["final"].iloc[0]) and i == len(pdf) - 1 for i in range(len(pdf))]
+    def repaired(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Whole blocks, one after the other."""
+        roles, at = [number(r) for r in pdf["role"]], np.append(starts(pdf), len(pdf))
+        s, t, final = pdf["s"].to_numpy(), pdf["t"].to_numpy(), pdf["final"].to_numpy(bool)
+        done, last = [], np.zeros(len(pdf), bool)
+        for i, j in zip(at, at[1:]):
+            done += repair(roles[i:j], int(s[i]), int(t[i]), costs)
+            last[j - 1] = final[i]
         text = [t if isinstance(t, str) else "" for t in pdf["text"]]
         out = pdf[["conv_id", "pos", "turn", "role", "text"]].copy()
         out["conv_id"], out["turn"] = out["conv_id"].astype("Int64"), out["turn"].astype("Int64")
@@ -206,13 +211,33 @@ def format_chats(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
         out["rendered"] = [rendered(d, t, p == 0, z) for d, t, p, z in zip(done, text, pdf["pos"], last, strict=True)]
         return out
 
+    def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Repairs the blocks of sorted rows; a block that a batch cuts waits for the rest of it."""
+        held = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            cut = int(starts(pdf)[-1])
+            if cut:
+                yield repaired(pdf.iloc[:cut])
+            held = pdf.iloc[cut:]
+        if held is not None:
+            yield repaired(held)
+
     joined = placed.join(given.select("conv", F.col("node").alias("block"), "s", "t", "final"), ["conv", "block"], "left")
     joined = joined.fillna({"s": START, "t": -1, "final": True})
-    return joined.groupBy("conv", "block").applyInPandas(
-        block, "conv_id long, pos long, turn long, role string, text string, new_role string, action string, inserted string, cost long, closing string, rendered string"
+    return joined.repartition("conv", "block").sortWithinPartitions("conv", "block", "pos").mapInPandas(
+        in_order, "conv_id long, pos long, turn long, role string, text string, new_role string, action string, inserted string, cost long, closing string, rendered string"
     )
 
 
+def starts(pdf: pd.DataFrame) -> np.ndarray:
+    """Where blocks begin in rows that are sorted by conversation and block."""
+    conv, block = pdf["conv"].to_numpy(), pdf["block"].to_numpy()
+    return np.flatnonzero(np.append(True, (conv[1:] != conv[:-1]) | (block[1:] != block[:-1])))
+
+
 def whole_chats(formatted: DataFrame) -> DataFrame:
     """(conv_id, cost, rendered) of conversations that fit in a row each."""
     parts = F.sort_array(F.collect_list(F.struct("pos", "rendered")))
