@@ -70,3 +70,22 @@ def threshold_sweep(scored: DataFrame, score: str, label: str, steps: int = 60)
         (F.sum(F.when(F.col("s") < F.col("threshold"), F.col("q")).otherwise(0)) / F.nullif(F.sum("q"), F.lit(0))).alias("specificity"),
     )
     return met.select(F.round("threshold", 6).alias("threshold"), F.round("coverage", 6).alias("coverage"), F.round("specificity", 6).alias("specificity"), F.round(F.col("coverage") + F.col("specificity") - 1, 6).alias("youden"))
+
+
+def fleiss_kappa(votes: DataFrame, item: str, category: str) -> DataFrame:
+    """Kappa of any number of raters, all items with as many votes; 1 where chance agreement is 1."""
+    cell = votes.groupBy(item, category).agg(F.count("*").alias("_c"))
+    per = cell.groupBy(item).agg(F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("sq"))
+    agree = per.agg(F.avg((F.col("sq") - F.col("n")) / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0))).alias("p"))
+    share = cell.groupBy(category).agg(F.sum("_c").alias("_c")).agg((F.sum(F.col("_c") * F.col("_c")) / F.pow(F.sum("_c"), F.lit(2))).alias("pe"))
+    kappa = F.when(F.col("pe") == 1, 1.0).otherwise(F.round((F.col("p") - F.col("pe")) / F.nullif(1 - F.col("pe"), F.lit(0.0)), 4))
+    return agree.crossJoin(share).select(kappa.alias("kappa"))
+
+
+def confusion(pairs: DataFrame, said: str, label: str) -> DataFrame:
+    """Counts of 0/1 predictions against labels, with precision, recall and F1; 0 where undefined."""
+    p, y = F.col(said) == 1, F.col(label) == 1
+    c = pairs.agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn"))
+    share = lambda a, b: F.coalesce(F.round(a / F.nullif(b, F.lit(0)), 4), F.lit(0.0))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return c.select("*", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import security, text
-from ..operators import metrics, retrieval, star
+from ..operators import clauses, forecast, metrics, retrieval, star
+from ..streaming import masking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -425,3 +426,39 @@ def win_round_robin(t):
 def ml_split_group(t):
     groups = t.documents.select("source").distinct().withColumn("r", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit("42|"), F.col("source"))), "source")))
     return t.documents.join(groups, "source").select("doc_id", (F.col("r") <= 4).alias("held_out"))
+
+
+# --- agreement, windows of time, and what SQL cannot say -----------------------------------------
+
+
+@query("""WITH v AS (SELECT doc_id, quality AS vote FROM labels UNION ALL SELECT doc_id, toxic FROM labels),
+    c AS (SELECT doc_id, vote, count(*) AS c FROM v GROUP BY 1, 2), i AS (SELECT doc_id, sum(c) AS n, sum(c * c) AS sq FROM c GROUP BY 1),
+    p AS (SELECT avg((sq - n) / nullif(n * (n - 1), 0)) AS p FROM i),
+    e AS (SELECT sum(c * c) / power(sum(c), 2) AS pe FROM (SELECT vote, sum(c) AS c FROM c GROUP BY 1))
+    SELECT CASE WHEN pe = 1 THEN 1.0 ELSE round((p - pe) / nullif(1 - pe, 0), 4) END AS kappa FROM p, e""")
+def ev_fleiss_kappa(t):
+    votes = t.labels.select("doc_id", F.col("quality").alias("vote")).unionAll(t.labels.select("doc_id", F.col("toxic").alias("vote")))
+    return metrics.fleiss_kappa(votes, "doc_id", "vote")
+
+
+@query("""WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 1 AND toxic = 0) AS fp,
+    count(*) FILTER (quality = 0 AND toxic = 1) AS fn, count(*) FILTER (quality = 0 AND toxic = 0) AS tn FROM labels)
+    SELECT *, coalesce(round(tp / nullif(tp + fp, 0), 4), 0.0) AS precision, coalesce(round(tp / nullif(tp + fn, 0), 4), 0.0) AS recall,
+    coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 4), 0.0) AS f1 FROM c""")
+def ml_metrics(t):
+    return metrics.confusion(t.labels, "quality", "toxic")
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def st_windowed_counts(t):
+    return masking.windowed_counts(t.events, "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query()
+def ts_models(t):
+    return forecast.backtest_models(nation_monthly(t), "nation").withColumn("mape", F.round("mape", 4))
+
+
+@query()
+def chk_clause(t):
+    return clauses.clause_chunks(t.documents, "doc_id", "text")
