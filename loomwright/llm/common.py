@@ -35,6 +35,20 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % n
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, fits: Column, sample: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``sample`` rows of ``docs`` that ``fits`` and that are labelled 0 or
+    1 (the larger of several labels), those with the smallest hash of their id.
+
+    Ids are chosen first, so that texts are not shuffled but for the rows chosen; as there are at most
+    ``sample`` of them, the ids go to every task.
+    """
+    marks = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    fit = docs.filter(fits)
+    first = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = fit.select("doc_id").join(marks, "doc_id").orderBy(*first).limit(sample).distinct()
+    return fit.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(*first).limit(sample)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

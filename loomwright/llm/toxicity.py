@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import labelled
+
 GRAMS = (4, 5, 6)
 BITS = 20
 #: At most so many labelled rows are learnt from, those with the smallest hash of their id.
@@ -85,9 +87,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     Rows with a null text, id or label are not learnt from. Without rows of both classes the model
     says the same of every text.
     """
-    labelled = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    chosen = docs.filter("text is not null").select("doc_id", "text").join(labelled, "doc_id")
-    chosen = chosen.filter(F.length("text") <= chars // 20).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    fits = F.col("text").isNotNull() & (F.length("text") <= chars // 20)
+    chosen = labelled(docs, labels, label, fits, sample)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, ys, seen = [], [], 0
