@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import labelled
+
 WIDTH, STRIDE, EMBED, FILTERS = 8, 4, 6, 32
 #: Windows in a chunk, and chunks computed at a time.
 CHUNK, AT_ONCE = 256, 64
@@ -112,9 +114,8 @@ class Net:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Net:
     """Fitted on at most ``sample`` rows of ``docs`` joined to ``labels``, in one task. Rows with a
     null text, id or label are not learnt from; without rows of both classes every score is the same."""
-    labelled = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    chosen = docs.filter("text is not null").select("doc_id", "text").join(labelled, "doc_id")
-    chosen = chosen.filter(F.octet_length("text") <= most // 20).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    fits = F.col("text").isNotNull() & (F.octet_length("text") <= most // 20)
+    chosen = labelled(docs, labels, label, fits, sample)
     shapes = {k: (v.shape, v.size) for k, v in Net().p.items()}
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
