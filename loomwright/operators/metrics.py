@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .evaluation import at_or_above
+
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p, zz = k / F.nullif(n, F.lit(0)), z * z
@@ -25,12 +27,12 @@ def cohen_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """Mann-Whitney area with mid-ranks. Equal scores are grouped before they are ranked."""
-    by = scored.groupBy(score).agg(F.count("*").alias("c"), F.sum(label).alias("p"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.select("c", "p", (before + (F.col("c") + 1) / 2).alias("mid"))
-    s = ranked.agg(F.sum(F.col("p") * F.col("mid")).alias("r"), F.sum("p").alias("np"), F.sum(F.col("c") - F.col("p")).alias("nn"))
-    return s.select(F.round((F.col("r") - F.col("np") * (F.col("np") + 1) / 2) / F.nullif(F.col("np") * F.col("nn"), F.lit(0)), 6).alias("auc"))
+    """Mann-Whitney area; of a pair with equal scores half counts."""
+    c = at_or_above(scored, score, label)
+    total = c.agg(F.sum("p").alias("np"), F.sum("q").alias("nn"))
+    below = F.col("nn") - F.col("fp") + F.col("q") / 2
+    s = c.crossJoin(F.broadcast(total)).agg(F.sum(F.col("p") * below).alias("won"), F.max("np").alias("np"), F.max("nn").alias("nn"))
+    return s.select(F.round(F.col("won") / F.nullif(F.col("np") * F.col("nn"), F.lit(0)), 6).alias("auc"))
 
 
 def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -11,30 +11,34 @@ from ..functions.text import tokens
 K1, B, EPSILON, K_RRF = 1.5, 0.75, 0.25, 60
 
 
-def top(scored: DataFrame, k: int, query: str = "query_id", item: str = "chunk_id", score: str = "score") -> DataFrame:
-    w = Window.partitionBy(query).orderBy(F.desc(score), item)
+def top(scored: DataFrame, k: int, *by: str, query: str = "query_id", item: str = "chunk_id", score: str = "score") -> DataFrame:
+    w = Window.partitionBy(*by, query).orderBy(F.desc(score), item)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+def bm25(chunks: DataFrame, questions: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, chunk_id, score, rank) of (chunk_id, text) and (query_id, text).
 
     Terms with a negative inverse frequency get EPSILON times the mean over the vocabulary. Words of
     a question count as often as they occur. The statistics are grouped once; only chunks that share
-    a word with a question are scored.
+    a word with a question are scored. With ``by``, columns of ``chunks``, every question is asked in
+    each group, whose statistics are its own; chunks with a null group are left out.
     """
-    tf = chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    length = chunks.select("chunk_id", F.size(tokens(F.col("text"))).alias("dl"))
-    corpus = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))
+    tf = chunks.select(*by, "chunk_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy(*by, "chunk_id", "term").agg(F.count("*").alias("tf"))
+    length = chunks.select(*by, "chunk_id", F.size(tokens(F.col("text"))).alias("dl"))
+
+    def known(rows: DataFrame, sums: DataFrame) -> DataFrame:
+        return rows.join(sums, list(by)) if by else rows.crossJoin(F.broadcast(sums))
+
+    df = known(tf.groupBy(*by, "term").agg(F.count("*").alias("df")), length.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    weight = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
+    idf = known(raw, raw.groupBy(*by).agg(F.avg("raw").alias("mean"))).select(*by, "term", "avgdl", weight.alias("idf"))
     asked = questions.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    met = asked.join(idf, "term").join(tf, "term").join(length, "chunk_id")
+    met = asked.join(idf, "term").join(tf, [*by, "term"]).join(length, [*by, "chunk_id"])
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored, k)
+    scored = met.groupBy(*by, "query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return top(scored, k, *by)
 
 
 def dense(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:

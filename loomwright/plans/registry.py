@@ -462,3 +462,6 @@ def ts_models(t):
 @query()
 def chk_clause(t):
     return clauses.clause_chunks(t.documents, "doc_id", "text")
+
+
+from . import evaluation  # noqa: E402, F401  registers its queries
