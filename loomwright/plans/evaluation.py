@@ -124,5 +124,5 @@ def ev_cohen_kappa_ci(t):
 
 @query()
 def st_lru_cache(t):
-    asked = t.events.withColumn("at", F.format_string("%020d-%020d", F.unix_micros("ts"), F.col("event_id")))
+    asked = t.events.withColumn("at", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.format_string("-%020d", F.col("event_id"))))
     return replay.hit_rate(replay.replay_lru(asked, "event_type", F.to_date("ts"), "at", "user_id", 32), "event_type")
