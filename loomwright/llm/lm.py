@@ -27,8 +27,10 @@ PRIOR = 32_000.0
 COMMON, COMMON_BYTES = 200_000, 64
 #: Words counted in a task before they are handed on, and rare words in a row.
 HELD, IN_ROW = 300_000, 20_000
-#: Characters of a word scored as one lattice; longer words are scored in such stretches.
-STRETCH = 4096
+#: Characters of a word encoded at a time; longer words are joined where that changes nothing.
+WINDOW = 1 << 16
+#: A character that no longer piece has: what follows it is encoded as if it stood in the middle of a word.
+FENCE = "\x01"
 
 
 @lru_cache(maxsize=2)
@@ -71,32 +73,77 @@ class Lattice:
             for j in range(1, len(piece)):
                 self.table.setdefault(piece[:j], None)
             self.table[piece] = float(lp[i])
+        self.longest = max([1, *map(len, self.table)])
 
     def word(self, word: str) -> float:
-        """log10 of the summed probability of all segmentations of a word and the space before it."""
-        if len(word) > STRETCH:
-            return sum(self._run((MARK if not at else "") + word[at : at + STRETCH]) for at in range(0, len(word), STRETCH))
-        return self._run(MARK + word)
+        """log10 of the summed probability of all segmentations of a word and the space before it.
 
-    def _run(self, s: str) -> float:
+        A place is reached only from those that the longest piece spans, so no more are held."""
+        s = MARK + word
         n, table, byte, ten = len(s), self.table, self.byte, math.log(10)
-        into: list[list[float]] = [[] for _ in range(n + 1)]
+        around = self.longest + 1
+        into: list[list[float]] = [[] for _ in range(around)]
         alpha = 0.0
-        for i in range(n):
+        for i in range(n + 1):
             if i:
-                terms = into[i]
+                terms = into[i % around]
                 most = max(terms)
                 alpha = most + (math.log10(sum([math.exp((t - most) * ten) for t in terms])) if len(terms) > 1 else 0.0)
-            into[i + 1].append(alpha + sum([byte[b] for b in s[i].encode("utf-8", "surrogatepass")]))
+                into[i % around] = []
+            if i == n:
+                break
+            into[(i + 1) % around].append(alpha + sum([byte[b] for b in s[i].encode("utf-8", "surrogatepass")]))
             for j in range(i + 1, n + 1):
                 lp = table.get(s[i:j], 0.0)
                 if lp == 0.0:
                     break
                 if lp is not None:
-                    into[j].append(alpha + lp)
-        terms = into[n]
-        most = max(terms)
-        return most + math.log10(sum([math.exp((t - most) * ten) for t in terms]))
+                    into[j % around].append(alpha + lp)
+        return alpha
+
+
+def pieces_of(sp, word: str, window: int | None = None) -> Iterator[list[int]]:
+    """The vocabulary's own segmentation of a whole word, in lists of bounded length.
+
+    Pieces are merged from neighbours, best merge first, so a sequence of pieces is the segmentation
+    of its word if each two neighbours are that of theirs. Each window starts at the end of a piece
+    of the window before it, and the two are joined only where that holds; where it holds nowhere
+    in a window, the window grows.
+    """
+    window = window or WINDOW
+    if len(word) <= window:
+        yield sp.encode(word)
+        return
+    fence = len(sp.encode(FENCE))
+    inside = lambda text: sp.encode(FENCE + text)[fence:]
+
+    def width(i: int) -> int:
+        piece = sp.id_to_piece(i)
+        return int((int(piece[1:-1], 16) & 0xC0) != 0x80) if sp.is_byte(i) else len(piece)
+
+    def joined(a: int, b: int) -> bool:
+        if sp.is_byte(a) or sp.is_byte(b):  # no piece has the character, so nothing is merged with it
+            return bool(width(b))
+        return inside(sp.id_to_piece(a) + sp.id_to_piece(b)) == [a, b]
+
+    whole = MARK + word  # as the tokenizer sees it
+    at, span = 0, window
+    ids = inside(whole[:span])
+    while at + span < len(whole):
+        end = at + sum(map(width, ids))
+        for k in range(len(ids) - 1, 0, -1):
+            end -= width(ids[k])
+            if not width(ids[k]):
+                continue
+            after = inside(whole[end : end + window])
+            if joined(ids[k - 1], after[0]):
+                yield ids[:k]
+                at, span, ids = end, window, after
+                break
+        else:
+            span *= 2
+            ids = inside(whole[at : at + span])
+    yield ids
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -136,9 +183,15 @@ def piece_counts(words: DataFrame, path: str) -> dict[int, int]:
         sp = vocabulary(path)
         seen = np.zeros(sp.get_piece_size(), np.int64)
         for pdf in batches:
-            for word, ids, c in zip(pdf["word"], sp.encode(pdf["word"].str.slice(0, STRETCH).tolist(), num_threads=1), pdf["c"], strict=True):
+            short = pdf["word"].str.len() <= WINDOW
+            few = pdf[short]
+            for word, ids, c in zip(few["word"], sp.encode(few["word"].tolist(), num_threads=1), few["c"], strict=True):
                 for i in ids if word else (sp.eos_id(),):
                     seen[i] += c
+            for word, c in zip(pdf["word"][~short], pdf["c"][~short], strict=True):
+                for ids in pieces_of(sp, word):
+                    for i in ids:
+                        seen[i] += c
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"piece": at, "n": seen[at]})
 

@@ -212,6 +212,37 @@ def test_lattice_sums_all_segmentations():
         assert math.isclose(10 ** model.word(w), brute("▁" + w), rel_tol=1e-9)
 
 
+def test_lattice_of_long_words():
+    """Segmentations with a piece across any place count, however long the word."""
+    model = lm.Lattice(lm.vocabulary_path(), {})
+    for unit in ("thing", "漢字です", "ab🜚"):
+        s = "▁" + unit * 2000
+        into = [[] for _ in range(len(s) + 1)]
+        into[0] = [0.0]
+        for i in range(len(s)):
+            alpha = np.logaddexp.reduce(np.array(into[i]) * math.log(10)) / math.log(10)
+            into[i + 1].append(alpha + sum(model.byte[b] for b in s[i].encode()))
+            for j in range(i + 1, min(len(s), i + 20) + 1):
+                if model.table.get(s[i:j]) is not None:
+                    into[j].append(alpha + model.table[s[i:j]])
+        assert math.isclose(model.word(s[1:]), np.logaddexp.reduce(np.array(into[-1]) * math.log(10)) / math.log(10), rel_tol=1e-12)
+
+
+def test_pieces_of_long_words(spark, monkeypatch):
+    sp, r = lm.vocabulary(lm.vocabulary_path()), random.Random(8)
+    kinds = ["a", "ab", "=-", "abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", "thequickand", "日本語の漢字仮名交じり文🜚🜛\u3000", "▁ab", "🜚🜛é", "\x01a"]
+    words = ["".join(r.choices(k, k=n)) for k in kinds for n in (40, 41, 99, 5000)] + ["international" * 400, "\u3000".join(["言葉"] * 2000)]
+    for w in words:
+        assert [i for ids in lm.pieces_of(sp, w, 40) for i in ids] == sp.encode(w)
+    monkeypatch.setattr(lm, "WINDOW", 4500)
+    want = {}
+    for c, w in enumerate(words):
+        for i in sp.encode(w):
+            want[i] = want.get(i, 0) + c
+    counted = spark.createDataFrame(list(zip(words, range(len(words)), strict=True)), "word string, c long")
+    assert lm.piece_counts(counted, lm.vocabulary_path()) == {i: n for i, n in want.items() if n}
+
+
 def test_language_model(spark, docs, empty, monkeypatch):
     for common in (200_000, 2):
         monkeypatch.setattr(lm, "COMMON", common)
