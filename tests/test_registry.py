@@ -29,3 +29,21 @@ def test_same_as_sql(spark, duck, name):
     if not os.path.isdir(DATA):
         pytest.skip("no tables")
     assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(ORACLES[name]).df())
+
+
+def test_every_place_of_a_passage(spark, tmp_path):
+    """A passage that stands in two far chunks, one that overlaps itself, and passages without inner words."""
+    far = "x the quick brown fox jumps y " + "filler words " * 1000 + "z the quick brown fox jumps"
+    texts = [(1, far), (2, "a b a b a b a"), (3, ""), (4, None), (5, "words")]
+    items = [(7, "the quick brown fox jumps"), (8, "a b a"), (9, "ords"), (10, "ick brown fo"), (11, "absent here now")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    for name in ("jn_span_overlap", "jn_span_overlap_all"):
+        assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(c.sql(ORACLES[name]).df())
+    got = {(r["doc_id"], r["item_id"]): 0 for r in QUERIES["jn_span_overlap_all"](spark, str(tmp_path)).collect()}
+    for r in QUERIES["jn_span_overlap_all"](spark, str(tmp_path)).collect():
+        got[r["doc_id"], r["item_id"]] += r["n"]
+    assert got[1, 7] >= 2 and got[1, 10] >= 2 and got[2, 8] == 3 and got[5, 9] == 1
