@@ -24,7 +24,7 @@ from .common import ascii_words, checkpointed, components
 SEED = 42
 #: Variants that a task writes out at a time.
 AT_ONCE = 1 << 22
-#: Shards up to this many distinct fingerprints; beyond it shards double with the fingerprints.
+#: The least shards, and the rows of a shard (one for each fingerprint that has a variant there) at which there are more.
 LEAST_SHARDS, FULL_SHARD = 128, 8_000_000
 
 
@@ -94,6 +94,15 @@ def project(x: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def shard_bits(n: int, radius: int) -> int:
+    """Bits of the number of shards in which ``n`` fingerprints put at most FULL_SHARD rows in each, in
+    the mean. A fingerprint reaches as many shards as its ball has hashes, so it misses most of many."""
+    masks, bits = ball(radius), LEAST_SHARDS.bit_length() - 1
+    while n * len(np.unique(project(masks, bits))) > FULL_SHARD << bits:
+        bits += 1
+    return bits
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Indices of links (a, b) that connect n nodes as all links do, without a cycle."""
     parent, chosen, left = np.arange(n), [], np.arange(len(a))
@@ -156,7 +165,7 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     if 2 * radius != distance:
         raise ValueError("the distance must be even")
     n = distinct.count()
-    bits = max(int(np.log2(LEAST_SHARDS)), int(np.ceil(np.log2(max(1, n / FULL_SHARD)) + np.log2(LEAST_SHARDS))))
+    bits = shard_bits(n, radius)
     reached = np.unique(project(ball(radius), bits)).tolist()
     columns = projection(bits).tolist()
     own = F.lit(0).cast("long")

@@ -47,6 +47,17 @@ def test_simhash_fingerprint():
         assert simhash.fingerprint(t) == brute_print(t)
 
 
+def test_simhash_shards_are_bounded(spark, monkeypatch):
+    """Rows of a shard stay bounded as the corpus grows; links are found where most shards are missed."""
+    for n in (1, 8_000_000, 80_000_000, 800_000_000, 8_000_000_000):
+        bits = simhash.shard_bits(n, 2)
+        reached = len(set(simhash.project(simhash.ball(2), bits).tolist()))
+        assert n * reached / (1 << bits) <= 8_000_000
+    monkeypatch.setattr(simhash, "FULL_SHARD", 70)
+    assert 1 << simhash.shard_bits(160, 2) > simhash.LEAST_SHARDS
+    test_simhash_links_like_all_pairs(spark)
+
+
 def test_simhash_links_like_all_pairs(spark):
     r = random.Random(1)
     base = [r.getrandbits(64) for _ in range(40)]
