@@ -307,6 +307,21 @@ def sec_injection(t):
     return t.events.select("event_id", security.injection(said).alias("pattern"))
 
 
+@query(f"SELECT doc_id, {_sql_mask('text')} AS masked FROM documents")
+def sec_mask_pii_documents(t):
+    return t.documents.select("doc_id", security.mask_pii(F.col("text")).alias("masked"))
+
+
+def _sql_injection(c: str) -> str:
+    folded = f"regexp_replace(lower(regexp_replace(translate({c}, '{security.ACCENTED}', '{security.PLAIN}'), '[^\\x00-\\x7F]', '', 'g')), '[\\s\\W]+', ' ', 'g')"
+    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '(?i){p}') OR regexp_matches({folded}, '(?i){p}') THEN '{name}'" for name, p in security.INJECTION) + " END"
+
+
+@query(f"SELECT conv_id, turn, {_sql_injection('text')} AS pattern FROM conversations")
+def sec_injection_conversations(t):
+    return t.conversations.select("conv_id", "turn", security.injection(F.col("text")).alias("pattern"))
+
+
 @query("SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))) AS digest FROM pages")
 def str_html_clean(t):
     return t.pages.select("page_id", F.md5(text.clean_html(F.col("html"))).alias("digest"))
