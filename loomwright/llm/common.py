@@ -17,15 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share: the context's own, else that of
+    ``spark.checkpoint.dir``. Where neither names one a temporary folder is used, on a local master
+    alone; a cluster without one is an error."""
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomwright-"))
+        known = sc._jsc.sc().getCheckpointDir()
+    return known.get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 
-    The folder is the one of ``spark.checkpoint.dir``; only where neither that setting nor the
-    context names one (local tests) is a temporary folder used.
+    The folder is that of ``shared_folder``.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomwright-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -115,22 +127,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return out.filter("u <> v").distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
-
     now = checkpointed(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     )
-    before = mark(now)
+    n = now.count()
     for _ in range(rounds):
-        if not before[0]:
+        if not n:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        before, held = now, n
         now = checkpointed(star(star(both, False), True))
-        after = mark(now)
-        if after == before:
+        n = now.count()
+        if n == held and now.join(before, ["u", "v"], "left_anti").isEmpty():  # edges are distinct: as many and all known are the same
             break
-        before = after
     else:
         raise RuntimeError("connected components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -2,30 +2,31 @@
 
 Two fingerprints at distance d <= 2r share a variant at distance <= r from both. Every fingerprint
 therefore emits all its variants within r = radius // 2 bits; fingerprints that meet at a variant
-are linked. Variants are shuffled by a linear hash of the variant: all variants of a fingerprint
-that go to one shard travel as one row (the fingerprint itself) and are written out inside the
-task, so that at most ``shards`` rows travel for each distinct fingerprint, and never more rows
-than it has variants.
+are linked. Variants are shuffled by the values of some of their bits: a fingerprint's variants that
+agree in these bits travel as one row and are written out inside the task. Of b such bits a
+fingerprint has 1 + b + b (b - 1) / 2 rows for r = 2, and b grows with the logarithm of the number of
+fingerprints, so that a task always holds about as many variants.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_words, checkpointed, components
 
 SEED = 42
-#: Variants that a task writes out at a time.
-AT_ONCE = 1 << 22
-#: The least shards, and the rows of a shard (one for each fingerprint that has a variant there) at which there are more.
-LEAST_SHARDS, FULL_SHARD = 128, 8_000_000
+#: Variants of a shard in the mean, and those at which a shard is dealt again by more bits.
+MEAN_SHARD, FULL_SHARD = 1 << 21, 1 << 23
+#: How many more bits that takes.
+MORE_BITS = 6
 
 
 def shingle_hashes(text: str | None, k: int) -> Iterator[np.ndarray]:
@@ -76,31 +77,36 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = 4, out: str = "fp
     return docs.withColumn(out, of(F.col(text)))
 
 
-def ball(radius: int) -> np.ndarray:
-    """All 64-bit masks of at most ``radius`` bits."""
-    one = [1 << i for i in range(64)]
-    return np.array([sum(c) for n in range(radius + 1) for c in combinations(one, n)], np.uint64)
+@lru_cache(maxsize=64)
+def ball(positions: tuple[int, ...], radius: int) -> tuple[np.ndarray, list[int]]:
+    """All masks of at most ``radius`` of the bits at ``positions``, those of fewer bits first, and how
+    many have at most 0, 1, ... ``radius`` bits."""
+    one = [1 << i for i in positions]
+    masks = [[sum(c) for c in combinations(one, n)] for n in range(radius + 1)]
+    return np.array([m for ms in masks for m in ms], np.uint64), np.cumsum([len(m) for m in masks]).tolist()
 
 
-def projection(bits: int) -> np.ndarray:
-    """For each of the 64 bit positions a word of ``bits`` bits: a linear hash of fingerprints."""
-    return np.random.default_rng(SEED).integers(0, 1 << 40, 64, dtype=np.uint64) & np.uint64((1 << bits) - 1)
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def project(x: np.ndarray, bits: int) -> np.ndarray:
-    out = np.zeros(len(x), np.uint64)
-    for i, c in enumerate(projection(bits)):
-        out ^= ((x >> np.uint64(i)) & np.uint64(1)) * c
-    return out.astype(np.int64)
+def bits_of(positions: tuple[int, ...]) -> int:
+    return sum(1 << i for i in positions)
 
 
-def shard_bits(n: int, radius: int) -> int:
-    """Bits of the number of shards in which ``n`` fingerprints put at most FULL_SHARD rows in each, in
-    the mean. A fingerprint reaches as many shards as its ball has hashes, so it misses most of many."""
-    masks, bits = ball(radius), LEAST_SHARDS.bit_length() - 1
-    while n * len(np.unique(project(masks, bits))) > FULL_SHARD << bits:
-        bits += 1
-    return bits
+def left(key: Column, dealt: tuple[int, ...], radius: int) -> Column:
+    """How many bits a variant may still differ by, beyond those by which ``key`` does."""
+    return F.lit(radius) - F.bit_count(F.col("fp").bitwiseXOR(key).bitwiseAND(F.lit(signed(bits_of(dealt)))))
+
+
+def deal(rows: DataFrame, dealt: tuple[int, ...], more: tuple[int, ...], radius: int) -> DataFrame:
+    """Rows (fp, key), key holding a variant's bits at ``dealt``, as a row for each value that variants
+    have at the bits ``more``, which key then holds too."""
+    masks, upto = ball(more, radius)
+    masks = F.lit(np.array(masks).view(np.int64).tolist())
+    own = F.col("key").bitwiseOR(F.col("fp").bitwiseAND(F.lit(signed(bits_of(more)))))
+    fits = F.slice(masks, F.lit(1), F.element_at(F.lit(upto), left(F.col("key"), dealt, radius) + 1))
+    return rows.select("fp", F.explode(F.transform(fits, lambda m: own.bitwiseXOR(m))).alias("key"))
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -119,73 +125,77 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             parent = up
 
 
-def meet(x: np.ndarray, shard: int, shard_bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the fingerprints ``x`` that share a variant whose hash lies in ``shard``:
+def meet(x: np.ndarray, key: np.uint64, dealt: tuple[int, ...], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the fingerprints ``x`` that share a variant with the bits ``key`` at ``dealt``:
     links that connect whatever those meetings connect."""
-    masks = ball(radius)
-    extra = max(0, int(np.ceil(np.log2(max(1, len(x) * len(masks) / (1 << shard_bits) / AT_ONCE)))))
-    bits = shard_bits + extra
-    of_x, of_mask = project(x, bits), project(masks, bits)
-    order = np.argsort(of_mask, kind="stable")
-    masks, counts = masks[order], np.bincount(of_mask, minlength=1 << bits)
-    starts = np.cumsum(counts) - counts
-    found_a, found_b = [], []
-    for sub in range(1 << extra):
-        want = of_x ^ (shard | sub << shard_bits)
-        n = counts[want]
-        owner = np.repeat(np.arange(len(x)), n)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        variants = x[owner] ^ masks[np.repeat(starts[want], n) + nth]
-        ordered = np.sort(variants)
-        shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        if not len(shared):
-            continue
-        place = np.searchsorted(shared, variants)
-        hit = shared[np.minimum(place, len(shared) - 1)] == variants
-        place, owner = place[hit], owner[hit]
-        by = np.lexsort((owner, place))
-        place, owner = place[by], owner[by]
-        first = np.r_[True, place[1:] != place[:-1]]
-        hub = owner[np.maximum.accumulate(np.where(first, np.arange(len(owner)), 0))]
-        pairs = np.unique(np.stack([hub[~first], owner[~first]], 1), axis=0)
-        keep = forest(pairs[:, 0], pairs[:, 1], len(x))
-        found_a.append(pairs[keep, 0])
-        found_b.append(pairs[keep, 1])
-    if not found_a:
+    masks, upto = ball(tuple(i for i in range(64) if i not in dealt), radius)
+    mask = np.uint64(bits_of(dealt))
+    n = np.array(upto)[radius - np.bitwise_count((x ^ key) & mask).astype(np.int64)]
+    owner = np.repeat(np.arange(len(x), dtype=np.int32), n)
+    variants = ((x & ~mask) | key)[owner]
+    variants ^= masks[np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)]
+    ordered = np.sort(variants)
+    shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(shared):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    keep = forest(a, b, len(x))
-    return a[keep], b[keep]
+    place = np.searchsorted(shared, variants)
+    hit = shared[np.minimum(place, len(shared) - 1)] == variants
+    place, owner = place[hit], owner[hit]
+    by = np.lexsort((owner, place))
+    place, owner = place[by], owner[by]
+    first = np.r_[True, place[1:] != place[:-1]]
+    hub = owner[np.maximum.accumulate(np.where(first, np.arange(len(owner)), 0))]
+    pairs = np.unique(np.stack([hub[~first], owner[~first]], 1), axis=0)
+    keep = forest(pairs[:, 0], pairs[:, 1], len(x))
+    return pairs[keep, 0], pairs[keep, 1]
+
+
+def shards(distinct: DataFrame, radius: int) -> tuple[DataFrame, list[int]]:
+    """(fp, key, bits): where the fingerprints' variants meet, and the 64 bit positions in the order
+    in which they deal; the first ``bits`` of them say what ``key`` holds.
+
+    Positions that are set in nearest to half of the fingerprints deal first. Shards that hold over
+    FULL_SHARD variants even so are dealt by more positions, until none does or no position is left.
+    """
+    ones = [F.coalesce(F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))), F.lit(0)).alias(f"b{i}") for i in range(64)]
+    seen = distinct.agg(F.count("*").alias("n"), *ones).first()
+    n = seen["n"]
+    order = sorted(range(64), key=lambda i: (abs(2 * seen[f"b{i}"] - n), i))
+    bits = 0
+    while n * ball(tuple(range(64)), radius)[1][-1] > MEAN_SHARD << bits:
+        bits += 1
+    rows = deal(distinct.select("fp", F.lit(0).cast("long").alias("key")), (), tuple(order[:bits]), radius)
+    done = rows.limit(0).withColumn("bits", F.lit(0))
+    while True:
+        dealt = tuple(order[:bits])
+        free = F.lit(ball(tuple(order[bits:]), radius)[1])
+        held = F.sum(F.element_at(free, left(F.col("key"), dealt, radius) + 1))
+        full = checkpointed(rows.groupBy("key").agg(held.alias("held")).filter(F.col("held") > FULL_SHARD).select("key"))
+        if bits == 64 or full.isEmpty():
+            return done.unionByName(rows.withColumn("bits", F.lit(bits))), order
+        done = done.unionByName(rows.join(full, "key", "left_anti").select("fp", "key", F.lit(bits).alias("bits")))
+        more = min(64, bits + MORE_BITS)
+        rows = deal(rows.join(full, "key", "left_semi").select("fp", "key"), dealt, tuple(order[bits:more]), radius)
+        bits = more
 
 
 def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
-    """(u, v) ids of verified links that join all fingerprints reachable over ``distance`` or fewer
-    differing bits. ``distinct`` has a row (fp, id) for each distinct fingerprint."""
+    """(u, v) verified links that join all of the distinct fingerprints ``fp`` reachable over
+    ``distance`` or fewer differing bits."""
     radius = distance // 2
     if 2 * radius != distance:
         raise ValueError("the distance must be even")
-    n = distinct.count()
-    bits = shard_bits(n, radius)
-    reached = np.unique(project(ball(radius), bits)).tolist()
-    columns = projection(bits).tolist()
-    own = F.lit(0).cast("long")
-    for i, c in enumerate(columns):
-        own = own.bitwiseXOR(F.when(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1)) == 1, F.lit(c)).otherwise(F.lit(0)).cast("long"))
-    if len(reached) == 1 << bits:  # every shard holds some variant
-        shards = F.sequence(F.lit(0).cast("long"), F.lit((1 << bits) - 1).cast("long"))
-    else:
-        shards = F.transform(F.lit(reached), lambda s: s.cast("long").bitwiseXOR(own))
-    dealt = distinct.select("fp", "id", F.explode(shards).alias("shard"))
+    dealt, order = shards(distinct, radius)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["fp"].to_numpy(np.int64)
-        order = np.argsort(x, kind="stable")
-        x, ids = x[order], pdf["id"].to_numpy(np.int64)[order]
-        a, b = meet(x.view(np.uint64), int(pdf["shard"].iloc[0]), bits, radius)
-        return pd.DataFrame({"u": ids[a], "v": ids[b], "fu": x[a], "fv": x[b]})
+        x = np.sort(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
+        key = np.int64(pdf["key"].iloc[0]).view(np.uint64)
+        a, b = meet(x, key, tuple(order[: int(pdf["bits"].iloc[0])]), radius)
+        x = x.view(np.int64)
+        return pd.DataFrame({"u": x[a], "v": x[b]})
 
-    met = dealt.groupBy("shard").applyInPandas(one, "u long, v long, fu long, fv long")
-    return met.filter(F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= distance).select("u", "v").distinct()
+    met = dealt.groupBy("bits", "key").applyInPandas(one, "u long, v long")
+    return met.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 4, distance: int = 4) -> DataFrame:
@@ -193,15 +203,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     component_id is the smallest id reachable over links of ``distance`` or fewer differing bits,
     the row's own included. Null and empty texts have fingerprint 0 and are linked like any other;
-    repeated rows stay repeated. Rows with a null id take part as members: they get the smallest
-    id of their fingerprint's component, null if nothing there has one.
+    repeated rows stay repeated. Rows with a null id take part like all others, links through them
+    included: they get the smallest id of their component, null if nothing there has one.
     """
     fps = checkpointed(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")), "text", k).drop("text"))
     distinct = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("id")))
-    joined = components(links(distinct.filter("id is not null"), distance))
-    named = distinct.join(joined, distinct["id"] == joined["node"], "left").select(
-        "fp", F.coalesce("component", "id").alias("component_id")
-    )
+    joined = components(links(distinct.select("fp"), distance))
+    members = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    members = checkpointed(members)
+    least = members.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = members.join(least, "component").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 

@@ -48,13 +48,22 @@ def test_simhash_fingerprint():
 
 
 def test_simhash_shards_are_bounded(spark, monkeypatch):
-    """Rows of a shard stay bounded as the corpus grows; links are found where most shards are missed."""
-    for n in (1, 8_000_000, 80_000_000, 800_000_000, 8_000_000_000):
-        bits = simhash.shard_bits(n, 2)
-        reached = len(set(simhash.project(simhash.ball(2), bits).tolist()))
-        assert n * reached / (1 << bits) <= 8_000_000
-    monkeypatch.setattr(simhash, "FULL_SHARD", 70)
-    assert 1 << simhash.shard_bits(160, 2) > simhash.LEAST_SHARDS
+    """No shard holds more variants than it may, however alike the fingerprints; all links are found."""
+    monkeypatch.setattr(simhash, "MEAN_SHARD", 1 << 12)
+    monkeypatch.setattr(simhash, "FULL_SHARD", 1 << 13)
+    r = random.Random(9)
+    base = r.getrandbits(64)
+    near = [base ^ sum(1 << k for k in r.sample(range(10), r.randint(0, 10))) for _ in range(60)]
+    fps = sorted(set(near + [r.getrandbits(64) for _ in range(60)]))
+    df = spark.createDataFrame([(int(f),) for f in np.array(fps, np.uint64).view(np.int64)], "fp long")
+    dealt, order = simhash.shards(df, 2)
+    held = {}
+    for x in dealt.collect():
+        bits = x["bits"]
+        off = ((x["fp"] ^ x["key"]) & (2**64 - 1) & simhash.bits_of(order[:bits])).bit_count()
+        n = simhash.ball(tuple(order[bits:]), 2)[1][2 - off]
+        held[bits, x["key"]] = held.get((bits, x["key"]), 0) + n
+    assert sum(held.values()) == 2081 * len(fps) and max(held.values()) <= 1 << 13 and len({b for b, _ in held}) > 1
     test_simhash_links_like_all_pairs(spark)
 
 
@@ -64,8 +73,12 @@ def test_simhash_links_like_all_pairs(spark):
     fps = base + [b ^ sum(1 << k for k in r.sample(range(64), r.randint(1, 6))) for b in base for _ in range(3)]
     fps = sorted(set(fps))
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    df = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, id long")
-    got = {x["node"]: x["component"] for x in simhash.components(simhash.links(df, 4)).collect()}
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    place = {f: i for i, f in enumerate(signed)}
+    got = {}
+    for x in simhash.components(simhash.links(df, 4)).collect():
+        got.setdefault(x["component"], set()).add(place[x["node"]])
+    got = {i: min(c) for c in got.values() for i in c}
     parent = list(range(len(fps)))
 
     def root(i):
@@ -87,6 +100,14 @@ def test_simhash_edges(spark, docs, empty):
     assert simhash.drop_near_duplicates(docs).columns == docs.columns
 
 
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, text, k: docs.withColumn("fp", F.col("text").cast("long")))
+    rows = [(7, "0"), (None, "15"), (3, "255"), (None, "-1"), (2, str(1 << 40 | 0xFFFFF << 12))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["fp"]: r["component_id"] for r in simhash.near_duplicates(d).collect()}
+    assert [got[int(t)] for _, t in rows] == [3, 3, 3, None, 2]
+
+
 def test_lines(spark, empty):
     line = "this line is on many sites"
     rows = [(i, f"own {i}\n  {line}\t\nend", f"s{i % 12}") for i in range(24)] + [(99, None, "s1"), (98, "", "s1"), (97, line, None)]
