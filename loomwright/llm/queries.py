@@ -62,7 +62,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return lines.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

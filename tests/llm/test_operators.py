@@ -120,6 +120,32 @@ def test_lines(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def brute_lines(rows, sites, words):
+    """Texts of (doc_id, text, source) less the lines of other documents that as many sources show."""
+    held = {}
+    for i, t, s in rows:
+        for pos, line in enumerate(t.split("\n") if t is not None and i is not None else []):
+            if len(line.split()) >= words:
+                held.setdefault(" ".join(line.split(" ")).strip(), []).append((i, pos, s))
+    gone = set()
+    for places in held.values():
+        if len({s for *_, s in places} - {None}) >= sites:
+            gone |= {(i, p) for i, p, _ in places} - {min((i, p) for i, p, _ in places)}
+    return sorted((repr(i), t if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone)) for i, t, s in rows)
+
+
+def test_lines_like_brute_force(spark):
+    """A third of all rows on one source, one line nearly everywhere, repeated rows, long texts, clashing names."""
+    r = random.Random(11)
+    known = [" ".join(r.choices("abcdefgh", k=r.choice([4, 5, 60]))) for _ in range(40)]
+    rows = [(i, "\n".join([*r.choices(known, k=3), f"own line number {i} of it", known[0]][: r.randint(1, 5)]), "s0" if i % 3 else f"s{i % 9}") for i in range(300)]
+    rows += rows[:5] + [(None, known[0], "s1"), (400, None, "s2"), (401, "", None), (402, "\n".join(known * 200), "s3"), (403, known[1], None)]
+    d = spark.createDataFrame([(*x, 1, "n", 5, "k") for x in rows], "doc_id long, text string, source string, n_lines int, gone string, n int, key string").repartition(4)
+    got = lines.dedup_lines(d)
+    assert got.columns == ["doc_id", "text", "source", "gone", "n", "key", "n_lines", "n_removed"]
+    assert sorted((repr(x["doc_id"]), x["text"]) for x in got.collect()) == brute_lines(rows, lines.MIN_SITES, 5)
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(DOCS) and all(0 <= r["copies"] <= 2 for r in got)
