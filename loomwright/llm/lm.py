@@ -1,8 +1,11 @@
 """Language-model scores of whole texts from the segmentations of their words into subwords.
 
 The vocabulary is an existing one. The weight of a piece comes from its existing score (a merge
-rank, read as a Zipf prior) and from how often the corpus uses it; the probability of a word is the
-sum over all its segmentations, computed by a forward recursion over the lattice in log space.
+rank, read as a Zipf prior) and from how often the corpus uses it; the lattice's probability of a word
+is the sum over all its segmentations, computed by a forward recursion in log space. A word that the
+corpus has is one more arc over its whole lattice: of N training tokens, V of them distinct, the
+share c / (N + V) comes from its count, and the share V / (N + V) of all words from the lattice. Words
+and the end of a text sum to one, and what is learnt from the corpus grows with it.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: Weight of the prior, in pieces.
 PRIOR = 32_000.0
-#: The commonest words go to every task with their counts; the rest are joined. Longer words are never among them.
+#: At most so many of the commonest words go to every task with their counts; the rest are joined. Longer words are never among them.
 COMMON, COMMON_BYTES = 200_000, 64
+#: Counts of words are told apart by so many steps of each doubling to choose the commonest.
+STEPS = 16
 #: Words counted in a task before they are handed on, and rare words in a row.
 HELD, IN_ROW = 300_000, 20_000
 #: Characters of a word encoded at a time; longer words are joined where that changes nothing.
@@ -63,7 +68,10 @@ class Lattice:
         p = (seen + PRIOR * prior / prior.sum()) * ~special
         with np.errstate(divide="ignore"):
             lp = np.log10(p / p.sum())
-        self.end = float(lp[sp.eos_id()])
+        p /= p.sum()
+        first = np.array([sp.id_to_piece(i).startswith(MARK) for i in range(n)])
+        end = p[sp.eos_id()]
+        self.end = math.log10(end / (end + p[first].sum()))  # after a word comes another or the end
         self.byte = [float(lp[sp.piece_to_id(f"<0x{b:02X}>")]) for b in range(256)]
         self.table: dict[str, float | None] = {}
         for i in range(n):
@@ -199,13 +207,27 @@ def piece_counts(words: DataFrame, path: str) -> dict[int, int]:
     return {r["piece"]: r["n"] for r in rows}  # at most one for each piece of the vocabulary
 
 
+def commonest(words: DataFrame) -> DataFrame:
+    """Those (word, c) of at most COMMON_BYTES that count at least as much as a bound, chosen so that
+    they are COMMON or fewer. Words meet in no task; counts by size of count, under a thousand, do."""
+    short = words.filter(F.octet_length("word") <= COMMON_BYTES).withColumn("step", F.floor(F.log2(F.col("c") + 1) * STEPS))
+    held, least = 0, None
+    for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > COMMON:
+            break
+        least = r["step"]
+    return short.filter(F.lit(False) if least is None else F.col("step") >= least).select("word", "c")
+
+
 def score_texts(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(id, learn, n_tokens, n_known, train_tokens, base_score, score), one row for each row of ``docs``.
 
     Words and their counts are learnt from the rows for which ``learn`` holds. Counts of the
     commonest words go to every task; all other words are joined with their counts, each word of a
     text once, so no key of the join is common. Null and empty texts are one end token. Repeated
-    rows get a row each. Without rows to learn from all counts are 0 and the prior alone weighs.
+    rows get a row each. Without rows to learn from all counts are 0 and the lattice alone weighs, its
+    pieces by their prior.
     """
     path = path or vocabulary_path()
     spark = docs.sparkSession
@@ -221,10 +243,15 @@ def score_texts(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text:
             yield pdf.assign(lp=[one(w) for w in pdf["word"]])
 
     weighed = words.filter("word <> ''").select("word", "c").mapInPandas(weigh, "word string, c long, lp double")
-    top = words.filter((F.col("word") != "") & (F.octet_length("word") <= COMMON_BYTES)).orderBy(F.desc("c"), "word").limit(COMMON)
-    common = top.mapInPandas(weigh, "word string, c long, lp double").toPandas()  # COMMON words of bounded length
+    common = commonest(words.filter("word <> ''")).mapInPandas(weigh, "word string, c long, lp double").toPandas()  # at most COMMON words of bounded length
+    types = max(1, v)
+    log_types, whole = math.log10(types), math.log10(max(1, n + v))
+
+    def mixed(c: int, lp: float) -> float:
+        return math.log10(c + types * 10**lp) if c else log_types + lp
+
     known = spark.sparkContext.broadcast(
-        {w.encode(): (c > 0, math.log10(c + 1), lp) for w, c, lp in zip(common["word"], common["c"].tolist(), common["lp"].tolist(), strict=True)}
+        {w.encode(): (c > 0, math.log10(c + 1), mixed(c, lp)) for w, c, lp in zip(common["word"], common["c"].tolist(), common["lp"].tolist(), strict=True)}
     )
     denominator, ends = math.log10(n + v + 1), total["ends"]
 
@@ -236,7 +263,7 @@ def score_texts(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text:
             out: list[tuple] = []
             for i, learned, text in zip(pdf["id"].tolist(), pdf["learn"], pdf["text"], strict=True):
                 i = None if i is None or i != i else int(i)
-                base, score, tokens, seen = math.log10(ends + 1) - denominator, end, 1, int(ends > 0)
+                base, score, tokens, seen = math.log10(ends + 1) - denominator, mixed(ends, end) - whole, 1, int(ends > 0)
                 for words in ascii_words(text):
                     rare: list[dict] = []
                     for w, tf in Counter(words).items():
@@ -252,6 +279,7 @@ def score_texts(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text:
                             score += tf * got[2]
                     tokens += len(words)
                     base -= len(words) * denominator
+                    score -= len(words) * whole
                     if rare:
                         out.append((uid, i, learned, 0, 0, 0.0, 0.0, rare))
                 out.append((uid, i, learned, tokens, seen, base, score, []))
@@ -266,7 +294,8 @@ def score_texts(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text:
     rare = scanned.filter(F.size("rare") > 0).select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.tf")
     met = rare.join(weighed, "word").groupBy("uid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("base"), F.sum(F.col("tf") * F.col("lp")).alias("score"),
+        F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("base"),
+        F.sum(F.col("tf") * F.when(F.col("c") > 0, F.log10(F.col("c") + types * F.pow(F.lit(10.0), F.col("lp")))).otherwise(log_types + F.col("lp"))).alias("score"),
     )
     zero = F.lit(0).cast("long")
     parts = scanned.filter(F.size("rare") == 0).select("uid", "id", "learn", "n_tokens", "n_known", "base", "score").unionByName(
