@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` written as Parquet to a folder of its own in the shared folder, and read again: its lineage
+    is cut, and its size is known, where a checkpoint keeps the estimate made before it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -7,7 +7,6 @@ import os
 import re
 import zlib
 from array import array
-from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import checkpointed, written
 
 TOKENIZER = "byte_bpe_50k.json"
 LENGTH, END = 1024, 2
@@ -27,6 +26,16 @@ LENGTH, END = 1024, 2
 OTHER = re.compile("[^\x00-\x1b\x20-\x7f\xa1-\u024f\u2013\u2014\u2018-\u201d\u2026]")
 
 
+#: Runs of so many characters between white space, or of it, go through ``tokenizers`` too: matching the
+#: pattern on a long one takes more of the stack than the fast library has.
+RUN = 1 << 14
+RUNS_OF_TEXT = re.compile(r"\s+|\S+")
+
+
+def has_long_run(text: str) -> bool:
+    return len(text) >= RUN and any(m.end() - m.start() >= RUN for m in RUNS_OF_TEXT.finditer(text))
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -56,7 +65,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.fast is None or (not text.isascii() or not text.isprintable()) and OTHER.search(text):
+        if self.fast is None or (not text.isascii() or not text.isprintable()) and OTHER.search(text) or has_long_run(text):
             return self.defined(text)
         return array("I", self.fast.encode_ordinary(text)).tobytes()
 
@@ -103,68 +112,100 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, with_
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(of, schema)
 
 
-def best_fit(counts: dict[int, int], length: int = LENGTH) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Where the pieces of each length go: rows (length, first rank, ranks, first sequence, pieces
-    in each sequence, offset of the first), and the number of sequences.
+#: Gaps and units of documents, as runs: of kind GAP ``n`` sequences from ``first`` on with ``size``
+#: tokens free, of kind UNIT ``n`` units of ``size`` tokens, those from rank ``first`` on of the units of
+#: ``size`` / ``each`` documents of length ``each``.
+RUNS = "kind int, size long, each long, first long, n long"
+GAP, UNIT = 0, 1
+#: Equal documents that together take this share of a sequence or less are placed as one unit.
+SHARE = 64
+
 
-    Pieces of one length are alike, and so are sequences with one gap; both are kept as sorted runs.
-    A round takes the longest pieces left. A sweep over the gaps from the smallest that fits (the
-    successor) upwards deals them out by rank, each gap taking as many as it holds; what is left
-    opens new sequences. Then the gaps are updated and the next round begins. There are at most
-    ``length`` rounds and runs of gaps, whatever the number of documents.
+def units(counts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The runs of units of (length, n): whole units of equal documents, and what is left of them singly."""
+    many = F.greatest(F.floor(F.lit(length // SHARE) / F.col("length")), F.lit(1)).cast("long")
+    whole = counts.select("length", "n", many.alias("m"))
+    run = lambda size, first, n: F.struct(F.lit(UNIT).alias("kind"), size.alias("size"), F.col("length").cast("long").alias("each"), first.alias("first"), n.alias("n"))
+    zero, full = F.lit(0).cast("long"), F.floor(F.col("n") / F.col("m"))
+    both = F.array(run(F.col("m") * F.col("length"), zero, full), run(F.col("length").cast("long"), full * F.col("m"), F.col("n") - full * F.col("m")))
+    return whole.select(F.inline(both)).filter("n > 0")
+
+
+def matched(runs: DataFrame) -> DataFrame:
+    """One round: rows (run of RUNS, into): where the units ``first`` .. of a run go, null for what stays
+    as it is; ``into`` has the gap's ``size`` and the ``first`` sequence.
+
+    Units and gaps are sorted by size, the largest first, and swept: each unit takes the smallest gap
+    that fits and that no larger unit has taken, at most one unit a gap. With gaps as opening and units
+    as closing brackets that is the matching of brackets, so it follows from prefix sums: a bracket
+    stands between two heights, and a unit's gap is the bracket last before it at its height.
+    """
+    order = Window.orderBy(F.desc("size"), "kind", "first", "each")
+    signed = F.when(F.col("kind") == GAP, F.col("n")).otherwise(-F.col("n"))
+    after = F.sum(signed).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    swept = runs.withColumn("after", after).withColumn("place", F.row_number().over(order)).withColumn("low", F.least("after", F.col("after") - signed)).drop("after")
+    ends = swept.select(F.explode(F.array("low", F.col("low") + F.col("n"))).alias("at")).distinct()
+    by_height = Window.orderBy("at")
+    ends = ends.select("at", F.row_number().over(by_height).alias("step"), (F.lead("at").over(by_height) - F.col("at")).alias("wide"))
+    # cut where any run ends, so that runs at one height span the same heights
+    steps = F.broadcast(ends)
+    bottom, top = steps.select(F.col("at").alias("low"), F.col("step").alias("from")), steps.select(F.col("at").alias("high"), F.col("step").alias("to"))
+    cut = swept.withColumn("high", F.col("low") + F.col("n")).join(bottom, "low").join(top, "high")
+    cut = cut.withColumn("step", F.explode(F.sequence("from", F.col("to") - 1))).join(steps, "step")
+    cut = cut.select("kind", "size", "each", "place", "step", (F.col("first") + (F.col("at") - F.col("low")) * F.when(F.col("kind") == GAP, 1).otherwise(F.col("size") / F.col("each")).cast("long")).alias("first"), F.col("wide").alias("n"))
+    at_height = Window.partitionBy("step").orderBy("place")
+    other = lambda shift: F.when(shift("kind", 1).over(at_height) != F.col("kind"), F.struct(shift("size", 1).over(at_height).alias("size"), shift("first", 1).over(at_height).alias("first")))
+    return cut.select("kind", "size", "each", "first", "n", F.when(F.col("kind") == UNIT, other(F.lag)).otherwise(other(F.lead)).alias("into"))
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """``runs`` with those that continue one another as one."""
+    order = Window.partitionBy("kind", "size", "each").orderBy("first")
+    many = F.when(F.col("kind") == GAP, F.lit(1)).otherwise(F.col("size") / F.col("each")).cast("long")
+    starts = F.when(F.lag(F.col("first") + F.col("n") * many).over(order) == F.col("first"), 0).otherwise(1)
+    named = runs.withColumn("new", starts).withColumn("run", F.sum("new").over(order))
+    return named.groupBy("kind", "size", "each", "run").agg(F.min("first").alias("first"), F.sum("n").alias("n")).drop("run")
+
+
+def best_fit(counts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Where documents go: rows (length, first, n, sequence, per, offset): the documents of ``length``
+    from rank ``first`` on, ``n`` of them, ``per`` in each sequence from ``sequence`` on, from ``offset`` on.
+    ``counts`` has (length, n).
+
+    Bulk-synchronous best fit over runs of equal lengths and equal gaps, of which there are as many as
+    there are lengths, whatever the number of documents. A round opens sequences where the largest gap
+    is too small for some units (one for each over half a sequence, or where none is, as many as their
+    tokens fill), sweeps all units over all gaps, and updates the gaps.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, how many)
-    sizes: list[int] = []
-    placed, used = [], 0
-
-    def add(gap: int, run: tuple[int, int]) -> None:
-        if gap:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(sizes, gap)
-            gaps[gap].append(run)
-
-    for size in sorted((s for s in counts if counts[s] > 0), reverse=True):
-        left, rank, freed = counts[size], 0, []
-        for gap in [g for g in sizes if g >= size]:
-            if not left:
-                break
-            fits = gap // size
-            runs, rest = gaps[gap], []
-            for first, n in runs:
-                if not left:
-                    rest.append((first, n))
-                    continue
-                full = min(n, left // fits)
-                if full:
-                    placed.append((size, rank, full * fits, first, fits, length - gap))
-                    freed.append((gap - fits * size, (first, full)))
-                    rank, left = rank + full * fits, left - full * fits
-                if full < n and 0 < left < fits:
-                    placed.append((size, rank, left, first + full, left, length - gap))
-                    freed.append((gap - left * size, (first + full, 1)))
-                    rank, left, full = rank + left, 0, full + 1
-                if full < n:
-                    rest.append((first + full, n - full))
-            if rest:
-                gaps[gap] = rest
-            else:
-                del gaps[gap]
-                sizes.remove(gap)
-        for gap, run in freed:
-            add(gap, run)
-        if left:
-            fits = length // size
-            full, over = divmod(left, fits)
-            if full:
-                placed.append((size, rank, full * fits, used, fits, 0))
-                add(length - fits * size, (used, full))
-                rank, used = rank + full * fits, used + full
-            if over:
-                placed.append((size, rank, over, used, over, 0))
-                add(length - over * size, (used, 1))
-                used += 1
-    return placed, used
+    spark = counts.sparkSession
+    full = counts.filter(F.col("length") == length)
+    state = written(units(counts.filter(F.col("length") < length), length).coalesce(1))
+    done, used = [], 0
+    size, n, unit = F.col("size"), F.col("n"), F.col("kind") == UNIT
+    while True:
+        largest = state.agg(F.coalesce(F.max(F.when(~unit, size)), F.lit(0)).alias("gap"))
+        lost = state.filter(unit).crossJoin(F.broadcast(largest)).agg(
+            F.count("*").alias("runs"), F.sum(F.when((size > F.col("gap")) & (2 * size > length), n)).alias("large"), F.sum(F.when(size > F.col("gap"), size * n)).alias("tokens")
+        ).first()
+        if not lost["runs"]:
+            break
+        if lost["tokens"]:
+            opened = lost["large"] or -(-lost["tokens"] // length)
+            state = state.unionByName(spark.createDataFrame([(GAP, length, 1, used, opened)], RUNS))
+            used += opened
+        swept = written(matched(state.coalesce(1)))
+        met = swept.filter(unit & F.col("into").isNotNull())
+        done.append(met.select(
+            F.col("each").alias("length"), "first", (n * size / F.col("each")).cast("long").alias("n"), F.col("into.first").alias("sequence"),
+            (size / F.col("each")).cast("long").alias("per"), (length - F.col("into.size")).alias("offset"),
+        ))
+        smaller = met.select(F.lit(GAP).alias("kind"), (F.col("into.size") - size).alias("size"), F.lit(1).cast("long").alias("each"), F.col("into.first").alias("first"), "n").filter("size > 0")
+        state = written(merged(swept.filter("into is null").drop("into").unionByName(smaller).coalesce(1)))
+    one = F.lit(1).cast("long")
+    out = full.select(F.col("length").cast("long"), (one - 1).alias("first"), "n", F.lit(used).cast("long").alias("sequence"), one.alias("per"), (one - 1).alias("offset"))
+    for d in done:
+        out = out.unionByName(d)
+    return out
 
 
 def ranked(items: DataFrame, size: str, order: list[str], out: str = "rank") -> DataFrame:
@@ -189,10 +230,9 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Data
     each. Null ids stay null.
     """
     cutted = checkpointed(pieces(docs, length, path))
-    counts = {r["length"]: r["n"] for r in cutted.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
-    placed, _ = best_fit(counts, length)
+    placed = best_fit(cutted.groupBy("length").agg(F.count("*").alias("n")), length).toPandas()  # runs, not documents
     runs: dict[int, np.ndarray] = {}
-    table = np.array(sorted(placed), np.int64).reshape(-1, 6)
+    table = placed.sort_values(["length", "first"]).to_numpy(np.int64)
     for size in np.unique(table[:, 0]):
         runs[int(size)] = table[table[:, 0] == size]
 
