@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import extract
+from ..functions import text as clean
+
 # The routes of a question, in order, and the words that ask for each.
 ROUTES = {
     "regulatorio": (
@@ -22,6 +25,13 @@ ROUTES = {
 }
 
 
+def first_of(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows of each ``by`` in ``order``, with their ``rank`` from 1; Spark keeps k rows of
+    each group before it shuffles."""
+    w = Window.partitionBy(by).orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def at_or_above(scored: DataFrame, score: str, label: str, cells: int = 4096) -> DataFrame:
     """(s, p, q, tp, fp) by distinct score: rows of label 1 and 0 at the score, and at it or above.
 
@@ -126,3 +136,69 @@ def routes(question: Column) -> Column:
 def neutral_context(c: Column) -> Column:
     """Retrieved text with what could pass for the end of a context or a change of role made blanks."""
     return F.regexp_replace(c, r"(?i)</?contexto>|\[/?INST\]|<\|[^|]*\|>", " ")
+
+
+def two_rates(answers: DataFrame, impossible: str, declined: str) -> DataFrame:
+    """How often what cannot be answered is declined, how often the rest is answered, and the mean of both."""
+    i, d = F.col(impossible), F.col(declined)
+    c = answers.agg(F.count_if(i).alias("n_impossible"), F.count_if(~i).alias("n_possible"), F.count_if(i & d).alias("_q"), F.count_if(~i & ~d).alias("_c"))
+    rate = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+    quiet, cover = rate("_q", "n_impossible"), rate("_c", "n_possible")
+    return c.select("n_impossible", "n_possible", F.round(quiet, 4).alias("quiet"), F.round(cover, 4).alias("coverage"), F.round((quiet + cover) / 2, 4).alias("balanced"))
+
+
+def refusal_audit(answers: DataFrame, impossible: str, declined: str, doubtful: str) -> DataFrame:
+    """How many refusals may be none, and the coverage if all of those were answers: an upper bound."""
+    i, d, s = F.col(impossible), F.col(declined), F.col(doubtful)
+    c = answers.agg(F.count_if(d).alias("n_refusals"), F.count_if(s).alias("n_doubtful"), F.count_if(s & ~i).alias("n_doubtful_possible"), F.count_if(~i).alias("_n"), F.count_if(~i & d).alias("_d"))
+    most = F.round((F.col("_n") - F.col("_d") + F.col("n_doubtful_possible")) / F.nullif(F.col("_n"), F.lit(0)), 4)
+    return c.select("n_refusals", "n_doubtful", "n_doubtful_possible", F.coalesce(most, F.lit(0.0)).alias("coverage_at_most"))
+
+
+def citation_precision(cited: Column, context: Column) -> Column:
+    """The share of the cited sources that the context holds; null where none is cited."""
+    return F.size(F.array_intersect(cited, context)) / F.nullif(F.size(cited), F.lit(0))
+
+
+def parsed_routes(said: Column, question: Column) -> Column:
+    """The known routes of a model's JSON; those of the question's words where it has none or is none."""
+    listed = F.from_json(F.nullif(F.regexp_extract(said, r"(?s)\{.*\}", 0), F.lit("")), "rotas array<string>").getField("rotas")
+    known = F.array_join(F.filter(listed, lambda r: r.isin(*ROUTES)), ",")
+    return F.coalesce(F.nullif(known, F.lit("")), routes(question))
+
+
+def guard_report(cases: DataFrame) -> DataFrame:
+    """Detections by layer and category of (layer, category, hit)."""
+    g = cases.groupBy("layer", "category").agg(F.count("*").alias("n"), F.count_if("hit").alias("detected"))
+    return g.withColumn("rate", F.round(F.col("detected") / F.col("n"), 3))
+
+
+def answer_events(answers: DataFrame, blocked: Column, text: str, size: int) -> DataFrame:
+    """``answers`` as events with ``seq``, ``kind``, ``part``: one block, or sources, pieces of text, end."""
+    event = lambda kind, part: F.struct(F.lit(kind).alias("kind"), part.alias("part"))
+    n = F.greatest(F.lit(1), F.ceil(F.length(text) / size)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: event("text", F.substring(F.col(text), i * size + 1, F.lit(size))))
+    whole = F.concat(F.array(event("sources", F.lit(""))), parts, F.array(event("end", F.lit(""))))
+    rows = answers.select("*", F.posexplode(F.when(blocked, F.array(event("block", F.lit("")))).otherwise(whole)).alias("seq", "event"))
+    return rows.select(*[c for c in answers.columns if c != text], "seq", "event.kind", "event.part")
+
+
+def annotation_kit(ranking: DataFrame, chunks: DataFrame, seed: int = 42) -> DataFrame:
+    """(query_id, chunk_id, distractor): each question's best chunk, and one by a hash that it did not find.
+
+    Of the chunks only the least hash of each question leaves a task; questions are a stated set."""
+    asked = ranking.select("query_id").distinct()
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string"), F.col("chunk_id").cast("string")))
+    pairs = chunks.crossJoin(asked).join(ranking.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    other = pairs.groupBy("query_id").agg(F.min_by("chunk_id", F.struct(digest, "chunk_id")).alias("chunk_id"))
+    best = ranking.filter("rank = 1").select("query_id", "chunk_id", F.lit(False).alias("distractor"))
+    return best.unionByName(other.select("query_id", "chunk_id", F.lit(True).alias("distractor")))
+
+
+def act_chunks(acts: DataFrame, key: str, text: str, size: int = 1500, overlap: int = 200) -> DataFrame:
+    """(chunk_id, key, chunk): windows of an act between its heading and the portal's foot, less navigation
+    and remnants, numbered from 0 after that."""
+    body = extract.cut_footer(extract.cut_header(F.col(text)))
+    rows = acts.select(F.col(key), body.alias("_b")).withColumn("_w", F.transform(clean.window_starts(F.col("_b"), size, overlap), lambda i: F.substring(F.col("_b"), i + 1, F.lit(size))))
+    kept = rows.select(key, F.posexplode(F.filter("_w", lambda p: ~clean.is_boilerplate(p) & ~clean.is_degenerate(p))).alias("_i", "chunk"))
+    return kept.select(F.concat_ws("::", F.col(key).cast("string"), F.col("_i").cast("string")).alias("chunk_id"), key, "chunk")

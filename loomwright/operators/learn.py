@@ -61,3 +61,48 @@ def clusters(df: DataFrame, numeric: list[str], ks: tuple[int, ...] = (2, 3, 4,
     for k, out in fitted.items():
         found[k] = judge.evaluate(out)
     return fitted[max(found, key=found.get)].select(*df.columns, "cluster"), found
+
+
+def without_outcomes(df: DataFrame, outcomes: list[str]) -> DataFrame:
+    """``df`` as it is; ValueError if it has a column that only the outcome tells."""
+    told = sorted(set(df.columns) & set(outcomes))
+    if told:
+        raise ValueError(f"columns of the outcome among the features: {told}")
+    return df
+
+
+def _draw(key: str, seed: int) -> list:
+    return [F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), F.col(key)]
+
+
+def split_stratified(df: DataFrame, key: str, label: str, share: float, seed: int = 42, cells: int = 1024) -> DataFrame:
+    """Adds ``held_out``: of the rows of each label in the order of a hash of the key, those from ``share`` on.
+
+    Ranks are summed from cells of the hash, so that no label meets in one task; reruns agree."""
+    digest = _draw(key, seed)[0]
+    dealt = df.withColumn("_h", digest).withColumn("_cell", F.pmod(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)) / (1 << 32) * cells, F.lit(cells)).cast("int"))
+    counts = dealt.groupBy(label, "_cell").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(label).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.select(label, "_cell", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"), F.sum("_c").over(Window.partitionBy(label)).alias("_all"))
+    inside = Window.partitionBy(label, "_cell").orderBy("_h", key)
+    ranked = dealt.withColumn("_r", F.row_number().over(inside) - 1).join(F.broadcast(sums), [label, "_cell"])
+    return ranked.withColumn("held_out", (F.col("_base") + F.col("_r")) / F.col("_all") >= share).drop("_h", "_cell", "_base", "_all", "_r")
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows chosen by a hash of the key."""
+    return df.orderBy(*_draw(key, seed)).limit(n)
+
+
+def importances(fitted, features: list[str], k: int = 15) -> list[tuple[str, float]]:
+    """The ``k`` features that a fitted pipeline's trees weigh most, of those named in order."""
+    weights = fitted.stages[-1].featureImportances.toArray()
+    return sorted(zip(features, weights.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def perceptron(train: DataFrame, label: str, numeric: list[str], hidden: tuple[int, ...] = (64, 16)):
+    """A fitted multilayer perceptron on the prepared features."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    net = MultilayerPerceptronClassifier(layers=[len(numeric), *hidden, 2], labelCol=label, featuresCol="_features", seed=42, maxIter=100)
+    return Pipeline(stages=[*preparation(numeric, []), net]).fit(train)

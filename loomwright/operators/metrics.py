@@ -91,3 +91,24 @@ def confusion(pairs: DataFrame, said: str, label: str) -> DataFrame:
     share = lambda a, b: F.coalesce(F.round(a / F.nullif(b, F.lit(0)), 4), F.lit(0.0))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return c.select("*", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, lo, upper_median, hi): least, largest and upper median of a whole-number column in each group.
+
+    Values are counted first, so that what is numbered are a group's distinct values, not its rows."""
+    counts = rows.groupBy(by, value).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(by).orderBy(value))
+    total = F.sum("_c").over(Window.partitionBy(by))
+    placed = counts.withColumn("_upto", upto).withColumn("_half", F.floor(total / 2) + 1)
+    return placed.groupBy(by).agg(F.min(value).alias("lo"), F.min(F.when(F.col("_upto") >= F.col("_half"), F.col(value))).alias("upper_median"), F.max(value).alias("hi"))
+
+
+def micro_f1(said: DataFrame, gold: DataFrame, item: str, kind: str) -> DataFrame:
+    """Counts and F1 over distinct (item, text, kind), for each kind and for all of them."""
+    keys = [item, "text", kind]
+    both = said.select(*keys).distinct().withColumn("_s", F.lit(1)).join(gold.select(*keys).distinct().withColumn("_g", F.lit(1)), keys, "full")
+    hit = F.col("_s").isNotNull() & F.col("_g").isNotNull()
+    c = both.rollup(kind).agg(F.grouping(kind).alias("_all"), F.count_if(hit).alias("tp"), F.count_if(F.col("_g").isNull()).alias("fp"), F.count_if(F.col("_s").isNull()).alias("fn"))
+    share = F.coalesce(F.round(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), 4), F.lit(0.0))
+    return c.select(F.when(F.col("_all") == 1, "all").otherwise(F.col(kind)).alias("kind"), "tp", "fp", "fn", share.alias("f1"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,22 +20,23 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int, by: tuple[str, ...] =
     """(query_id, chunk_id, score, rank) of (chunk_id, text) and (query_id, text).
 
     Terms with a negative inverse frequency get EPSILON times the mean over the vocabulary. Words of
-    a question count as often as they occur. The statistics are grouped once; only chunks that share
-    a word with a question are scored. With ``by``, columns of ``chunks``, every question is asked in
+    a question count as often as they occur. Document frequencies are counted over all words, each
+    chunk's own once; how often a chunk has a word is counted only for the words of questions. With ``by``, columns of ``chunks``, every question is asked in
     each group, whose statistics are its own; chunks with a null group are left out.
     """
-    tf = chunks.select(*by, "chunk_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy(*by, "chunk_id", "term").agg(F.count("*").alias("tf"))
-    length = chunks.select(*by, "chunk_id", F.size(tokens(F.col("text"))).alias("dl"))
+    cut = chunks.select(*by, "chunk_id", tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
 
     def known(rows: DataFrame, sums: DataFrame) -> DataFrame:
         return rows.join(sums, list(by)) if by else rows.crossJoin(F.broadcast(sums))
 
-    df = known(tf.groupBy(*by, "term").agg(F.count("*").alias("df")), length.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    asked = questions.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    df = cut.select(*by, F.explode(F.array_distinct("terms")).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("df"))
+    raw = known(df, cut.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     weight = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
     idf = known(raw, raw.groupBy(*by).agg(F.avg("raw").alias("mean"))).select(*by, "term", "avgdl", weight.alias("idf"))
-    asked = questions.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    met = asked.join(idf, "term").join(tf, [*by, "term"]).join(length, [*by, "chunk_id"])
+    tf = cut.select(*by, "chunk_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = tf.groupBy(*by, "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    met = asked.join(idf, "term").join(tf, [*by, "term"])
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = met.groupBy(*by, "query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, k, *by)
@@ -67,3 +68,71 @@ def evaluate(ranking: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5
         "query_id", "n_gold", *[F.round(zero(f"h{k}") / F.col("n_gold"), 6).alias(f"recall_{k}") for k in ks],
         (zero("h5") > 0).cast("int").alias("hit_5"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("rr"),
     )
+
+
+def in_force_or_all(rows: DataFrame, query: str, flag: str) -> DataFrame:
+    """The rows of each query that are in force; all of them where none is."""
+    some = rows.groupBy(query).agg(F.max(flag).alias("_some"))
+    return rows.join(some, query).filter(F.col(flag) | ~F.col("_some")).drop("_some")
+
+
+def lexical(question: Column, passage: Column) -> Column:
+    """A stand-in for a model that scores pairs: the share of the question's distinct words that the passage has."""
+    asked = F.array_distinct(tokens(question))
+    return F.round(F.size(F.array_intersect(asked, tokens(passage))) / F.greatest(F.size(asked), F.lit(1)), 6)
+
+
+def rerank(ranking: DataFrame, scores: DataFrame, candidates: int) -> DataFrame:
+    """``ranking`` (query_id, chunk_id, rank) with the first ``candidates`` ordered by ``scores``
+    (query_id, chunk_id, model); the rest stays behind them in its order."""
+    head = F.col("rank") <= candidates
+    scored = ranking.join(scores, ["query_id", "chunk_id"], "left")
+    order = Window.partitionBy("query_id").orderBy(F.when(head, 0).otherwise(1), F.when(head, -F.col("model")).otherwise(F.col("rank")), "rank")
+    return scored.withColumn("place", F.row_number().over(order)).select("query_id", "chunk_id", F.col("place").alias("rank"), F.when(head, F.col("model")).alias("model"))
+
+
+def letters(c: Column) -> Column:
+    """A stand-in for an embedding: how often each letter a to x occurs, in unit length (all 0 for none)."""
+    low = F.lower(c)
+    counts = F.transform(F.array(*[F.lit(chr(97 + i)) for i in range(24)]), lambda x: (F.length(low) - F.length(F.replace(low, x, F.lit("")))).cast("double"))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(counts, lambda x: F.coalesce(x / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
+
+
+def hybrid(chunks: DataFrame, questions: DataFrame, mode: str, k: int, candidates: int = 20, scorer=None) -> DataFrame:
+    """(query_id, chunk_id, rank) of the ``k`` best by ``mode`` dense, bm25 or hybrid: ``candidates`` of each
+    ranking, fused where both are asked for, then reordered by ``scorer`` (question, passage) if given."""
+    if mode not in ("dense", "bm25", "hybrid"):
+        raise ValueError(f"unknown mode {mode}")
+    found = []
+    if mode != "dense":
+        found.append(bm25(chunks, questions, candidates))
+    if mode != "bm25":
+        found.append(dense(chunks.select("chunk_id", letters(F.col("text")).alias("v")), questions.select("query_id", letters(F.col("text")).alias("q")), candidates))
+    ranking = (fuse(found, candidates) if len(found) > 1 else found[0]).select("query_id", "chunk_id", "rank")
+    if scorer is not None:
+        pairs = ranking.join(questions.select("query_id", F.col("text").alias("_q")), "query_id").join(chunks.select("chunk_id", F.col("text").alias("_c")), "chunk_id")
+        ranking = rerank(ranking, pairs.select("query_id", "chunk_id", scorer(F.col("_q"), F.col("_c")).alias("model")), candidates)
+    return ranking.filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank")
+
+
+def report(evaluated: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """One row for each k: mean recall, its ceiling with as many relevant chunks, and recall as a share of
+    what fits into k places; with the share of questions with a hit and its interval."""
+    from .metrics import wilson
+
+    rows = evaluated.select("n_gold", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"recall_{k}").alias("recall")) for k in ks])).alias("r")).select("n_gold", "r.*")
+    fits = F.least("k", "n_gold")
+    out = rows.groupBy("k").agg(
+        F.count("*").alias("n"), F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg(fits / F.col("n_gold")), 4).alias("ceiling"),
+        F.round(F.avg(F.col("recall") * F.col("n_gold") / fits), 4).alias("recall_norm"), F.count_if(F.col("recall") > 0).alias("hits"),
+    )
+    lo, hi = wilson(F.col("hits"), F.col("n"))
+    return out.select("*", F.round(F.col("hits") / F.col("n"), 4).alias("hit_rate"), lo.alias("lo"), hi.alias("hi"))
+
+
+def separation(ranking: DataFrame, gold: DataFrame) -> DataFrame:
+    """Tenth, half and nine tenths of the best scores of questions with a relevant chunk, and of those without."""
+    best = ranking.filter("rank = 1").select("query_id", "score").join(gold.select("query_id").distinct().withColumn("_g", F.lit(True)), "query_id", "left")
+    disc = lambda p: F.expr(f"round(percentile_disc({p}) WITHIN GROUP (ORDER BY score), 3)")
+    return best.groupBy(F.coalesce("_g", F.lit(False)).alias("answerable")).agg(F.count("*").alias("n"), disc(0.1).alias("p10"), disc(0.5).alias("p50"), disc(0.9).alias("p90"))

@@ -72,3 +72,37 @@ def backtest(series: DataFrame, by: str, horizon: int = 12) -> DataFrame:
     held = ranked.withColumn("naive", F.max(F.when(F.col("r") == horizon + 1, F.col("total"))).over(last)).filter(F.col("r") <= horizon)
     off = lambda p: F.round(F.avg(F.abs((F.col("total") - F.col(p)) / F.nullif(F.col("total"), F.lit(0.0)))) * 100, 4)
     return held.groupBy(by).agg(off("naive").alias("mape_naive"), off("seasonal").alias("mape_seasonal"))
+
+
+def series_of(series: DataFrame, by: str, value: str) -> DataFrame:
+    """One series in the order of its months; the value is data, never part of a query's text."""
+    return series.filter(F.col(by) == F.lit(value)).orderBy("month")
+
+
+def sum_columns(*columns: str) -> Column:
+    """Sum over columns of a row, null counted as 0."""
+    return sum((F.coalesce(F.col(c), F.lit(0)) for c in columns[1:]), F.coalesce(F.col(columns[0]), F.lit(0)))
+
+
+def filled(rows: DataFrame, by: str, date: str, step: str) -> DataFrame:
+    """``rows`` with a row for each ``step`` (day, month) between a group's first and last date."""
+    ends = rows.groupBy(by).agg(F.min(date).alias("a"), F.max(date).alias("b"))
+    every = ends.select(by, F.explode(F.sequence("a", "b", F.expr(f"interval 1 {step}"))).alias(date))
+    return every.join(rows, [by, date], "left")
+
+
+def last_periods(rows: DataFrame, date: Column, n: int) -> DataFrame:
+    """Rows of the last ``n`` distinct periods (recent) and of the n before (before), by their ``period``."""
+    dated = rows.withColumn("_at", date)
+    known = dated.select("_at").distinct().withColumn("_r", F.row_number().over(Window.orderBy(F.desc("_at")))).filter(F.col("_r") <= 2 * n)
+    return dated.join(F.broadcast(known), "_at").withColumn("period", F.when(F.col("_r") <= n, "recent").otherwise("before")).drop("_r", "_at")
+
+
+def drift(series: DataFrame, by: str, n: int = 12) -> DataFrame:
+    """Stability index of the last ``n`` months' totals against the n before, over the series that both hold."""
+    from .metrics import psi
+
+    named = last_periods(series, F.col("month"), n)
+    recent, before = named.filter("period = 'recent'"), named.filter("period = 'before'")
+    both = recent.select(by).intersect(before.select(by))
+    return psi(before.join(both, by, "left_semi"), recent.join(both, by, "left_semi"), "total")
