@@ -106,10 +106,11 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple =
 def emit(docs: DataFrame, **how) -> DataFrame:
     """``docs``, each as often as the mix takes it. The mix is drawn for each doc_id once; rows that
     repeat a doc_id all get the copies of its first. Rows with a null doc_id are emitted once."""
-    drawn = mix(docs.filter("doc_id is not null"), **how).groupBy(F.col("doc_id").alias("_id")).agg(F.min("copies").alias("_copies"))
-    again = docs.join(drawn.filter("_copies > 0"), docs["doc_id"] == F.col("_id"))
-    again = again.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return again.select(*[docs[c] for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
+    named = docs.filter("doc_id is not null")
+    drawn = mix(named, **how).groupBy("doc_id").agg(F.min("copies").alias("copies")).filter("copies > 0")
+    whole = named.select(F.struct(*docs.columns).alias("doc"))  # columns of whatever names
+    again = whole.join(drawn, F.col("doc.doc_id") == drawn["doc_id"]).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return again.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
 
 
 def oracle(share: float = 1.5, most: float = 2.0, seed: int = SEED) -> str:
