@@ -6,7 +6,8 @@ those by a code book whose codes and extra bits always take the same number of b
 refinements in which one end-of-band run covers many blocks.
 
 ``store`` keeps bytes losslessly as coefficients: a block holds 64 bytes b as 256 + b, all
-quantisers are 1. First scans carry all bits but the lowest, refinement scans the lowest.
+quantisers are 1. Half of an image's blocks are luma, a quarter each are the two chroma components,
+which are half as wide. First scans carry all bits but the lowest, refinement scans the lowest.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks in one image: payloads above it become several images, one after the other.
+#: Blocks in one image, a multiple of 4: payloads above it become several images, one after the other.
 BLOCKS = 4096
 
 # Fixed values of the format: the zigzag order of coefficients (row * 8 + column).
@@ -217,7 +218,7 @@ class Image:
     def __init__(self, data: bytes, at: int = 0):
         self.tables: dict[int, np.ndarray] = {}
         self.books: dict[int, Huffman] = {}
-        self.restart = 0
+        self.restart, self.comment = 0, b""
         if data[at : at + 2] != b"\xff\xd8":
             raise ValueError("no image starts here")
         at += 2
@@ -242,6 +243,8 @@ class Image:
                     body = body[17 + sum(counts) :]
             elif m == 0xC2:
                 self._frame(body)
+            elif m == 0xFE:
+                self.comment = body
             elif m == 0xDD:
                 self.restart = struct.unpack(">H", body)[0]
             elif m == 0xDA:
@@ -333,7 +336,10 @@ def images(data: bytes) -> Iterator[Image]:
     """The images of a stored value, one after the other."""
     at = 0
     while at < len(data):
-        image = Image(data, at)
+        try:
+            image = Image(data, at)
+        except (IndexError, KeyError, struct.error) as e:
+            raise ValueError(f"a damaged image at byte {at}") from e
         at = image.end
         yield image
 
@@ -356,7 +362,7 @@ DC_BOOK = bytes([0x00, *[1] * 9, *[0] * 7, *range(8, -1, -1)])
 AC_BOOK = bytes([0x10, *[1] * 8, *[0] * 8, *range(8, 0, -1)])
 #: End-of-band runs for the refinement.
 RUN_BOOK = bytes([0x11, 0, 0, 0, 15, *[0] * 12, *[r << 4 for r in range(15)]])
-SCAN = {k: _marker(0xDA, bytes([1, 1, *k])) for k in ((0x00, 0, 0, 0x01), (0x00, 1, 5, 0x01), (0x00, 6, 63, 0x01), (0x00, 0, 0, 0x10), (0x01, 1, 63, 0x10))}
+SCAN = {(c, *k): _marker(0xDA, bytes([1, c, *k])) for c in (1, 2, 3) for k in ((0x00, 0, 0, 0x01), (0x00, 1, 5, 0x01), (0x00, 6, 63, 0x01), (0x00, 0, 0, 0x10), (0x01, 1, 63, 0x10))}
 HEAD = b"\xff\xd8" + _marker(0xDB, b"\x00" + b"\x01" * 64) + _marker(0xC4, DC_BOOK + AC_BOOK + RUN_BOOK)
 
 
@@ -377,17 +383,23 @@ def _nine(v: np.ndarray) -> np.ndarray:
 
 
 def store_blocks(payload: np.ndarray) -> bytes:
-    """A grey image, one row of blocks, whose coefficients are 256 plus the bytes of (blocks, 64)."""
-    n = len(payload)
-    high, low = (payload >> 1).astype(np.int16) + 128, payload & 1
-    r = n.bit_length() - 1
-    run = np.array([int(x) for x in f"{r:04b}" + (f"{n - (1 << r):0{r}b}" if r else "")], np.uint8)
-    return b"".join((
-        HEAD, _marker(0xC2, struct.pack(">BHHB", 8, 8, 8 * n, 1) + b"\x01\x11\x00"),
-        SCAN[0, 0, 0, 1], _coded(_nine(DC_FIELDS[np.diff(high[:, 0], prepend=0) + 255])),
-        SCAN[0, 1, 5, 1], _coded(_nine(high[:, 1:6])), SCAN[0, 6, 63, 1], _coded(_nine(high[:, 6:])),
-        SCAN[0, 0, 0, 16], _coded(low[:, 0]), SCAN[1, 1, 63, 16], _coded(np.r_[run, low[:, 1:].ravel()]), b"\xff\xd9",
-    ))
+    """A colour image one row of blocks high, whose coefficients are 256 plus the bytes of (blocks, 64):
+    luma, then both chroma components, the last of them filled up with zeros. A comment says how many
+    blocks are payload."""
+    n, units = len(payload), -(-len(payload) // 4)
+    whole = np.concatenate([payload, np.zeros((4 * units - n, 64), np.uint8)]) if n % 4 else payload
+    out = [HEAD, _marker(0xFE, struct.pack(">I", n)), _marker(0xC2, struct.pack(">BHHB", 8, 8, 16 * units, 3) + b"\x01\x21\x00\x02\x11\x00\x03\x11\x00")]
+    late = []
+    for c, part in ((1, whole[: 2 * units]), (2, whole[2 * units : 3 * units]), (3, whole[3 * units :])):
+        high, low, k = (part >> 1).astype(np.int16) + 128, part & 1, len(part)
+        r = k.bit_length() - 1
+        run = np.array([int(x) for x in f"{r:04b}" + (f"{k - (1 << r):0{r}b}" if r else "")], np.uint8)
+        out += [
+            SCAN[c, 0, 0, 0, 1], _coded(_nine(DC_FIELDS[np.diff(high[:, 0], prepend=0) + 255])),
+            SCAN[c, 0, 1, 5, 1], _coded(_nine(high[:, 1:6])), SCAN[c, 0, 6, 63, 1], _coded(_nine(high[:, 6:])),
+        ]
+        late += [SCAN[c, 0, 0, 0, 16], _coded(low[:, 0]), SCAN[c, 1, 1, 63, 16], _coded(np.r_[run, low[:, 1:].ravel()])]
+    return b"".join((*out, *late, b"\xff\xd9"))
 
 
 def store(data: bytes) -> bytes:
@@ -398,7 +410,8 @@ def store(data: bytes) -> bytes:
 
 def payload(image: Image) -> bytes:
     """The bytes that ``store_blocks`` put into an image."""
-    return (image.coefficients[0] - 256).astype(np.uint8).tobytes()
+    n = struct.unpack(">I", image.comment)[0]
+    return (np.concatenate(image.coefficients)[:n] - 256).astype(np.uint8).tobytes()
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -444,20 +457,23 @@ def describe(data: bytes) -> tuple[int, str, int, int, str, str]:
         sha.update(part)
         n, tail = n + len(part), part[-64:]
         rgb = image.rgb()
-        grey = rgb[:, :, 0].astype(np.int64)
+        grey = rgb.astype(np.int64)
         crc, wide = zlib.crc32(rgb.tobytes(), crc), wide + image.width
         total, square = total + int(grey.sum()), square + int((grey * grey).sum())
-    mean = total / n
-    return n, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), f"8x{wide}x3 mean={mean:.4f} var={square / n - mean * mean:.4f} crc={crc:08x}"
+    mean = total / (24 * wide)
+    return n, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), f"8x{wide}x3 mean={mean:.4f} var={square / (24 * wide) - mean * mean:.4f} crc={crc:08x}"
 
 
 def read_back(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)."""
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature): each
+    value of ``to_media`` read back. A null value gives nulls; one that is damaged ends the job with an
+    error that says where, as a wrong payload would be worse."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for pdf in batches:
-            out = pd.DataFrame([describe(d) for d in pdf["media"]], columns=names, index=pdf.index)
+            out = pd.DataFrame([(None,) * 6 if d is None else describe(d) for d in pdf["media"]], columns=names, index=pdf.index)
+            out[names[0]], out[names[2]], out[names[3]] = (out[names[i]].astype("Int64") for i in (0, 2, 3))
             yield pd.concat([pdf[["id", "n_bytes"]], out], axis=1)
 
     schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

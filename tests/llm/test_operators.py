@@ -382,7 +382,29 @@ def test_jpeg_payload(spark, docs, empty):
     got = jpeg.read_back(jpeg.to_media(docs)).collect()
     assert len(got) == len(DOCS) and len({r["media_sha256"] for r in got if r["doc_id"] in (3, 4)}) == 1
     assert jpeg.read_back(jpeg.to_media(empty)).count() == 0
-    assert jpeg.tensors(jpeg.to_media(docs)).filter("height = 8").count() == sum(-(-max(1, len((t or "").encode())) // (64 * jpeg.BLOCKS)) for _, t, _ in DOCS)
+    blocks = [-(-max(1, len((t or "").encode())) // 64) for _, t, _ in DOCS]
+    shapes = sorted((r["height"], r["width"], len(r["rgb"])) for r in jpeg.tensors(jpeg.to_media(docs)).collect())
+    assert shapes == sorted((8, 16 * -(-n // 4), 24 * 16 * -(-n // 4)) for b in blocks for n in [min(jpeg.BLOCKS, b - i) for i in range(0, b, jpeg.BLOCKS)])
+    lost = jpeg.read_back(jpeg.to_media(docs).withColumn("media", F.lit(None).cast("binary"))).collect()
+    assert len(lost) == len(DOCS) and all(r["payload_sha256"] is None and r["payload_bytes"] is None for r in lost)
+    with pytest.raises(ValueError):
+        jpeg.describe(jpeg.store(bytes(640))[:-40])
+
+
+def test_jpeg_chroma_is_upsampled():
+    """Each chroma sample of a stored image covers two columns, as a plain inverse transform has it."""
+    data = np.random.default_rng(3).integers(0, 256, (8, 64)).astype(np.uint8)
+    image = jpeg.Image(jpeg.store(data.tobytes()))
+    planes = []
+    for part in (data[:4], data[4:6], data[6:]):
+        f = np.zeros((len(part), 64))
+        f[:, jpeg.ZIGZAG] = part.astype(float) + 256
+        u = np.arange(8)
+        c = np.cos((2 * u[None] + 1) * u[:, None] * np.pi / 16) * np.where(u == 0, 0.5**0.5, 1)[:, None] / 2
+        planes.append(np.concatenate([np.clip(np.rint(c.T @ x.reshape(8, 8) @ c + 128), 0, 255) for x in f], axis=1))
+    y, cb, cr = planes[0], planes[1].repeat(2, 1) - 128, planes[2].repeat(2, 1) - 128
+    want = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 2)
+    assert np.abs(np.clip(np.rint(want), 0, 255) - image.rgb().astype(int)).max() <= 3
 
 
 def encode_general(planes, h, v):
