@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,20 +33,26 @@ INJECTION = (
     ("marcadores-role", r"\[/?INST\]|<\|[^|]*\|>|###\s*(system|instruction)"),
 )
 
-ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
-PLAIN = "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
-
-
 def mask_pii(c: Column) -> Column:
     for pattern, label in PII:
         c = F.regexp_replace(c, pattern, label)
     return c
 
 
+def plain_ascii(c: Column) -> Column:
+    """Compatibility forms taken apart and what is not ASCII left out. Only texts that hold such
+    characters go to Python."""
+
+    def of(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode(), na_action="ignore")
+
+    odd = c.rlike(r"[^\x00-\x7F]")
+    return F.when(odd, F.pandas_udf(of, "string")(F.when(odd, c))).otherwise(c)
+
+
 def fold_latin(c: Column) -> Column:
     """Accents off, other non-ASCII out, lower case, runs of white space and punctuation as one space."""
-    plain = F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
-    return F.regexp_replace(F.lower(plain), r"[\s\W]+", " ")
+    return F.regexp_replace(F.lower(plain_ascii(c)), r"[\s\W]+", " ")
 
 
 def injection(c: Column) -> Column:

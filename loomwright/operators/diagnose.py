@@ -46,6 +46,17 @@ def learning_curve(
     return df.sparkSession.createDataFrame(found, "share double, n long, train_auc double, test_auc double")
 
 
+def validation_curve(df: DataFrame, key: str, label: str, numeric: list[str], categories: list[str], depths: tuple[int, ...] = (2, 4, 8, 12)) -> DataFrame:
+    """(depth, train_auc, test_auc) of trees of growing depth, fitted on four folds and tested on the fifth."""
+    dealt = folds(df, key)
+    held, rest = dealt.filter("_fold = 0"), dealt.filter("_fold <> 0")
+    found = []
+    for depth in depths:
+        fitted = learn.fit(rest, label, numeric, categories, "tree", maxDepth=depth)
+        found.append((depth, area(fitted.transform(rest), label), area(fitted.transform(held), label)))
+    return df.sparkSession.createDataFrame(found, "depth int, train_auc double, test_auc double")
+
+
 def calibrate(scored: DataFrame, label: str, probability: str = "probability"):
     """An isotonic model from the probability of label 1 (a vector's second value, or a number) to its share."""
     return IsotonicRegression(featuresCol="_p", labelCol=label, predictionCol="calibrated").fit(_one(scored, probability))

@@ -6,7 +6,13 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .star import lag_features
 
 GRID = np.array(list(product((0.05, 0.2, 0.4, 0.6, 0.8), (0.0, 0.05, 0.2), (0.05, 0.2, 0.5, 0.8))))
 
@@ -62,3 +68,35 @@ def backtest_models(series: DataFrame, by: str, horizon: int = 12) -> DataFrame:
         return pd.DataFrame({by: pdf[by].iloc[0], "model": list(off), "mape": [float(np.nanmean(v) * 100) if held_ok.any() else None for v in off.values()]})
 
     return series.select(by, "month", "total").groupBy(by).applyInPandas(each, f"{by} string, model string, mape double")
+
+
+FEATURES = ("lag_1", "lag_2", "lag_3", "lag_12", "mean_3", "mean_12")
+
+
+def boosted_recursive(series: DataFrame, by: str, horizon: int = 12) -> DataFrame:
+    """(by, mape) of one boosted model of all series (by, month, total) over each one's last ``horizon``
+    rows, its forecasts fed back as lags.
+
+    Values are shares of their series' mean over the known rows. Series with under 13 known rows give none.
+    A series travels as the array of its last twelve values, so that a step is one projection.
+    """
+    back = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("month")))
+    ranked = series.select(by, "month", "total").withColumn("_r", back)
+    known = ranked.filter(F.col("_r") > horizon).drop("_r")
+    scale = known.groupBy(by).agg(F.avg("total").alias("_scale"), F.count("*").alias("_n")).filter("_scale <> 0 and _n > 12")
+    shares = known.join(scale, by).select(by, "month", (F.col("total") / F.col("_scale")).alias("total"))
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
+    rows = lag_features(shares, by).na.drop(subset=list(FEATURES))
+    model = GBTRegressor(featuresCol="_features", labelCol="total", predictionCol="_next", maxIter=50, maxDepth=4, seed=42).fit(assembler.transform(rows))
+    last = F.slice(F.transform(F.sort_array(F.collect_list(F.struct("month", "total"))), lambda x: x.getField("total")), -12, 12)
+    state = shares.groupBy(by).agg(last.alias("_seen")).withColumn("_said", F.array().cast("array<double>"))
+    at = lambda k: F.element_at("_seen", -k)
+    mean = lambda n: sum((at(k) for k in range(2, n + 1)), at(1)) / n
+    for _ in range(horizon):
+        lags: dict[str, Column] = {"lag_1": at(1), "lag_2": at(2), "lag_3": at(3), "lag_12": at(12), "mean_3": mean(3), "mean_12": mean(12)}
+        said = model.transform(assembler.transform(state.withColumns(lags)))
+        state = said.select(by, F.concat(F.slice("_seen", 2, 11), F.array("_next")).alias("_seen"), F.concat("_said", F.array("_next")).alias("_said"))
+    held = ranked.filter(F.col("_r") <= horizon)
+    met = held.join(state, by).join(scale.select(by, "_scale"), by)
+    error = F.abs((F.col("total") - F.element_at("_said", F.lit(horizon + 1) - F.col("_r")) * F.col("_scale")) / F.nullif(F.col("total"), F.lit(0.0)))
+    return met.groupBy(by).agg((F.avg(error) * 100).alias("mape"))

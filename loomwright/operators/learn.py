@@ -48,9 +48,11 @@ def preparation(numeric: list[str], categories: list[str]) -> list:
     ]
 
 
-def fit(train: DataFrame, label: str, numeric: list[str], categories: list[str], model: str = "logistic"):
-    """A fitted pipeline whose ``probability`` is the balanced model's."""
-    return Pipeline(stages=[*preparation(numeric, categories), models(label)[model]]).fit(balanced(train, label))
+def fit(train: DataFrame, label: str, numeric: list[str], categories: list[str], model: str = "logistic", **params):
+    """A fitted pipeline whose ``probability`` is the balanced model's; ``params`` are set on the model."""
+    chosen = models(label)[model]
+    chosen.setParams(**params)
+    return Pipeline(stages=[*preparation(numeric, categories), chosen]).fit(balanced(train, label))
 
 
 def clusters(df: DataFrame, numeric: list[str], ks: tuple[int, ...] = (2, 3, 4, 5, 6)) -> tuple[DataFrame, dict[int, float]]:

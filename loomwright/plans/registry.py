@@ -303,7 +303,7 @@ def sec_mask_pii_documents(t):
 
 
 def _sql_injection(c: str) -> str:
-    folded = f"regexp_replace(lower(regexp_replace(translate({c}, '{security.ACCENTED}', '{security.PLAIN}'), '[^\\x00-\\x7F]', '', 'g')), '[\\s\\W]+', ' ', 'g')"
+    folded = f"regexp_replace(lower(regexp_replace(strip_accents({c}), '[^\\x00-\\x7F]', '', 'g')), '[\\s\\W]+', ' ', 'g')"
     return "CASE " + " ".join(f"WHEN regexp_matches({c}, '(?i){p}') OR regexp_matches({folded}, '(?i){p}') THEN '{name}'" for name, p in security.INJECTION) + " END"
 
 
@@ -493,6 +493,16 @@ def ts_models(t):
     return forecast.backtest_models(nation_monthly(t), "nation").withColumn("mape", F.round("mape", 4))
 
 
+@query()
+def ts_gb_recursive(t):
+    return forecast.boosted_recursive(nation_monthly(t), "nation").withColumn("mape", F.round("mape", 4))
+
+
+@query(f"SELECT doc_id, chunk_no AS part, start, stop AS end, md5(substr(text, start + 1, stop - start)) AS digest FROM ({CHUNKS})")
+def chk_selector(t):
+    return clauses.chunker("janela")(t.documents, "doc_id", "text").select("doc_id", "part", "start", "end", F.md5("chunk").alias("digest"))
+
+
 @query()
 def chk_clause(t):
     return clauses.clause_chunks(t.documents, "doc_id", "text")
