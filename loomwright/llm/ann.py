@@ -1,13 +1,17 @@
 """Nearest neighbours by inner product over randomly rotated one-bit codes.
 
-Each vector is turned by one random orthogonal matrix and kept as the signs of its coordinates,
-its norm, and the inner product of the turned unit vector with its code. From the code alone
-<o, q> is estimated as |o| <code, q'> / <code, o'>, with an error of at most
+Vectors are put into coarse cells around centroids of a sample. What a vector o differs by from its
+centroid, r = o - c, is turned by one random orthogonal matrix and kept as the signs of its
+coordinates, packed eight to a byte, its norm, and the inner product of the turned unit vector with
+its code. From these alone <o, q> is estimated as <c, q> + |r| <code, q'> / <code, r'>, with an error of
+at most
 
-    |o| |q| epsilon sqrt((1 - <code, o'>^2) / <code, o'>^2 / (d - 1))
+    |r| |q| epsilon sqrt((1 - <code, r'>^2) / <code, r'>^2 / (d - 1))
 
 except with a probability that falls with exp(-epsilon^2 / 2). The vectors that seem nearest are
-compared exactly, then all whose upper bound reaches the k-th largest of these products.
+compared exactly, then all whose upper bound reaches the k-th largest of these products. A query
+first looks into the cells with the nearest centroids; then into all others in which a vector may
+lie that reaches its k-th product.
 """
 
 from __future__ import annotations
@@ -25,8 +29,15 @@ from .common import checkpointed
 SEED = 42
 #: Standard deviations of the estimate that its bounds allow for.
 EPSILON = 3.0
-#: Candidates and queries that meet in one task.
-CELL_ROWS, CELL_QUERIES = 8192, 4096
+#: Rows of a cell in the mean, and the most cells. The centroids are fitted on about SAMPLE rows; all rows are indexed.
+CELL_ROWS, CELLS, SAMPLE = 8192, 4096, 32_768
+#: Cells that each query looks into first.
+FIRST = 2
+#: A vector's product with a query is at most that of its centroid and SPREAD / sqrt(d) times both norms more
+#: (and never over the norms themselves): standard deviations of the angle between unlike vectors.
+SPREAD = 5.0
+#: Queries that meet a part of a cell in one task.
+CELL_QUERIES = 4096
 #: Pairs estimated at a time.
 AT_ONCE = 1 << 21
 #: This many times k vectors that seem nearest are compared exactly to bound the k-th nearest.
@@ -41,11 +52,25 @@ def rotation(d: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def encode(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed sign bits, norms and corrections <code, o'> of the rows of ``v``."""
-    norm = np.linalg.norm(v, axis=1)
-    turned = (v / norm[:, None]) @ rotation(v.shape[1])
-    return np.packbits(turned > 0, axis=1), norm, np.abs(turned).sum(axis=1) / np.sqrt(v.shape[1])
+def encode(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed sign bits, norms and corrections <code, r'> of the rows of ``r``; 1 for a row that is zero."""
+    norm = np.linalg.norm(r, axis=1)
+    turned = (r / np.where(norm > 0, norm, 1)[:, None]) @ rotation(r.shape[1])
+    return np.packbits(turned > 0, axis=1), norm, np.where(norm > 0, np.abs(turned).sum(axis=1) / np.sqrt(r.shape[1]), 1.0)
+
+
+def estimate(codes: np.ndarray, turned: np.ndarray) -> np.ndarray:
+    """<code, q'> for each of the ``turned`` queries and each of the packed codes: for every byte of a code
+    the sums of its 256 values are looked up, so that codes stay packed."""
+    n, d = turned.shape
+    wide = 8 * codes.shape[1]
+    padded = np.zeros((n, wide), np.float32)
+    padded[:, :d] = turned / np.float32(np.sqrt(d))
+    signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
+    out = np.zeros((n, len(codes)), np.float32)
+    for j in range(codes.shape[1]):
+        out += np.take(padded[:, 8 * j : 8 * j + 8] @ signs.T, codes[:, j], axis=1)
+    return out
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -56,30 +81,32 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_cell(ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, corr: np.ndarray, vecs: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int, epsilon: float = EPSILON):
-    """The k best candidates of a block for each query: arrays (query id, id, score)."""
+def search_cell(ids, codes, norms, corr, vecs, centroid, qids, queries, least, k: int, epsilon: float = EPSILON):
+    """The k best candidates of a part of a cell for each query, of those that reach the query's ``least``
+    product: arrays (query id, id, score)."""
     d = vecs.shape[1]
-    signs = (np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
     turned = (queries @ rotation(d)).astype(np.float32)
     gain = (norms / corr).astype(np.float32)
     spread = (norms * epsilon * np.sqrt(np.maximum(0, 1 - corr**2) / corr**2 / max(1, d - 1))).astype(np.float32)
     qnorm = np.linalg.norm(queries, axis=1).astype(np.float32)
+    base = (queries @ centroid).astype(np.float32)
+    longest = np.linalg.norm(vecs, axis=1).max(initial=0)
     out = []
     step = max(1, AT_ONCE // max(1, len(ids)))
     for at in range(0, len(qids), step):
         asked, own = queries[at : at + step], qids[at : at + step, None] == ids
-        estimate = (turned[at : at + step] @ signs.T) * gain
-        estimate[own] = -np.inf
-        floor = np.full(len(asked), -np.inf)
+        seems = estimate(codes, turned[at : at + step]) * gain + base[at : at + step, None]
+        seems[own] = -np.inf
+        floor = least[at : at + step].copy()
         wide = WIDE * k
         if len(ids) > wide:  # the k-th largest exact product of those that seem nearest: the k-th nearest is no farther
-            seem = np.argpartition(estimate, len(ids) - wide, axis=1)[:, len(ids) - wide :]
+            seem = np.argpartition(seems, len(ids) - wide, axis=1)[:, len(ids) - wide :]
             score = np.stack([vecs[s] @ v for s, v in zip(seem, asked, strict=True)])
             score[np.take_along_axis(own, seem, axis=1)] = -np.inf
-            floor = np.partition(score, wide - k, axis=1)[:, wide - k]
-        near = floor - ROUNDING * qnorm[at : at + step] * norms.max(initial=0)
-        estimate += qnorm[at : at + step, None] * spread
-        qi, ci = np.nonzero(estimate >= near[:, None].astype(np.float32))
+            floor = np.maximum(floor, np.partition(score, wide - k, axis=1)[:, wide - k])
+        near = floor - ROUNDING * qnorm[at : at + step] * longest
+        seems += qnorm[at : at + step, None] * spread
+        qi, ci = np.nonzero(seems >= near[:, None].astype(np.float32))
         kept = np.concatenate([
             np.einsum("ij,ij->i", asked[qi[i : i + PAIRS]], vecs[ci[i : i + PAIRS]]) >= near[qi[i : i + PAIRS]] for i in range(0, len(qi), PAIRS)
         ] or [np.zeros(0, bool)]) & ~own[qi, ci]
@@ -92,23 +119,61 @@ def search_cell(ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, corr: np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (qids[:0], ids[:0], np.zeros(0))
 
 
-def index(vectors: DataFrame, id_col: str, vec_col: str, dim: int, asked: F.Column) -> DataFrame:
-    """(id, asked, vec, code, norm, corr) of the rows whose vector has ``dim`` finite components, not all 0."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int, asked: F.Column) -> DataFrame:
+    """(id, asked, vec) of the rows whose vector has ``dim`` finite components, not all 0."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(asked, F.lit(False)).alias("asked"), F.col(vec_col).alias("vec"))
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return rows.filter(F.col("id").isNotNull() & (F.size("vec") == dim) & finite & F.exists("vec", lambda x: x != 0))
+
+
+def centroids(rows: DataFrame, n: int) -> np.ndarray:
+    """Centroids of ``n`` / CELL_ROWS cells, CELLS at most, by k-means in one task over about SAMPLE of the
+    rows (id, vec): those whose id's hash lies below a bound, an id once."""
+    count = int(min(CELLS, -(-n // CELL_ROWS)))
+    bound = min(1.0, SAMPLE / max(1, n)) * 2.0**30
+    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < bound).groupBy("id").agg(F.min("vec").alias("vec"))
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [pdf for pdf in batches if len(pdf)]
+        if not held:
+            return
+        v = np.stack(pd.concat(held).sort_values("id")["vec"].to_numpy()).astype(np.float64)
+        c = v[np.random.default_rng(SEED).permutation(len(v))[:count]]
+        for _ in range(8 if len(c) > 1 else 1):
+            near = closest(v, c)
+            n_in = np.bincount(near, minlength=len(c))
+            sums = np.zeros_like(c)
+            np.add.at(sums, near, v)
+            c = np.where(n_in[:, None] > 0, sums / np.maximum(n_in, 1)[:, None], c)
+        yield pd.DataFrame({"c": list(c)})
+
+    found = sample.coalesce(1).mapInPandas(of, "c array<double>").collect()  # CELLS vectors at most
+    return np.array([r["c"] for r in found], np.float64)
+
+
+def closest(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The place of the nearest of ``c`` to each row of ``v``."""
+    step = max(1, AT_ONCE // max(1, len(c)))
+    half = (c * c).sum(axis=1) / 2
+    return np.concatenate([np.argmax(v[i : i + step] @ c.T - half, axis=1) for i in range(0, len(v), step)])
+
+
+def index(rows: DataFrame, cells: np.ndarray) -> DataFrame:
+    """(id, asked, vec, cell, code, norm, corr) of every row, by its nearest centroid."""
+    shared = rows.sparkSession.sparkContext.broadcast(cells)  # CELLS vectors at most
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
             v = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            codes, norms, corr = encode(v)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "asked": pdf["asked"].to_numpy(), "vec": list(v), "code": [c.tobytes() for c in codes], "norm": norms, "corr": corr})
+            cell = closest(v, c)
+            codes, norms, corr = encode(v - c[cell])
+            yield pdf.assign(cell=cell, code=[x.tobytes() for x in codes], norm=norms, corr=corr)
 
-    usable = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(asked, F.lit(False)).alias("asked"), F.col(vec_col).cast("array<double>").alias("vec")).filter(
-        F.col("id").isNotNull() & (F.size("vec") == dim)
-        & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        & F.exists("vec", lambda x: x != 0)
-    )
-    return usable.mapInPandas(of, "id long, asked boolean, vec array<double>, code binary, norm double, corr double")
+    kind = dict(rows.dtypes)["vec"]
+    return rows.mapInPandas(of, f"id long, asked boolean, vec {kind}, cell int, code binary, norm double, corr double")
 
 
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", epsilon: float = EPSILON) -> DataFrame:
@@ -116,35 +181,77 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "
     with the largest inner products, ties to the smaller id; all others if there are fewer.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components
-    take no part. Of rows that repeat an id each takes part, but never as a neighbour of its id.
-    Queries and candidates are dealt into blocks by a hash of the id and every block of queries
-    meets every block of candidates once; only k rows a query leave a cell.
+    take no part. Of rows that repeat an id each takes part, but never as a neighbour of its id; the
+    least of their vectors asks. Other columns are not read. Cells with many rows or many queries are
+    dealt into parts by a hash of the id, each part of rows met by each part of queries once; only k
+    rows a query leave a part.
     """
     sizes = vectors.filter(F.col(vec_col).isNotNull()).groupBy(F.size(vec_col).alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
+    spark = vectors.sparkSession
     if sizes is None or sizes["d"] < 1:
-        return vectors.sparkSession.createDataFrame([], schema)
-    coded = checkpointed(index(vectors, id_col, vec_col, sizes["d"], is_query))
-    asked = coded.filter("asked").select(F.col("id").alias("query_id"), F.col("vec").alias("query")).dropDuplicates(["query_id"])
-    n, m = coded.count(), asked.count()
-    blocks, groups = max(1, -(-n // CELL_ROWS)), max(1, -(-m // CELL_QUERIES))
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    dealt = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
-    candidates = coded.drop("asked").withColumn("block", dealt("id", blocks)).withColumn("group", each(groups))
-    wanted = asked.withColumn("group", dealt("query_id", groups)).withColumn("block", each(blocks))
+        return spark.createDataFrame([], schema)
+    d = sizes["d"]
+    rows = usable(vectors, id_col, vec_col, d, is_query)
+    cells = centroids(rows, rows.count())
+    if not len(cells):  # no usable row
+        return spark.createDataFrame([], schema)
+    coded = checkpointed(index(rows, cells))
+    asked = checkpointed(coded.filter("asked").groupBy(F.col("id").alias("query_id")).agg(F.min("vec").alias("query")))
+    held = {r["cell"]: (r["n"], r["far"]) for r in coded.groupBy("cell").agg(F.count("*").alias("n"), F.max("norm").alias("far")).collect()}  # CELLS rows at most
+    number = np.array([held.get(i, (0, 0.0))[0] for i in range(len(cells))])
+    far = np.array([held.get(i, (0, 0.0))[1] for i in range(len(cells))])
+    shared = spark.sparkContext.broadcast((cells, number, far * min(1.0, SPREAD / d**0.5)))
+    parts = F.lit(np.maximum(1, -(-number // CELL_ROWS)).tolist())
+    dealt = lambda c, count: F.pmod(F.xxhash64(c), count).cast("int")
+    part_of = F.element_at(parts, F.col("cell") + 1)
+
+    def wanted(first: bool):
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            c, n, reach = shared.value
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                q = np.stack(pdf["query"].to_numpy()).astype(np.float64)
+                near = np.where(n > 0, q @ c.T, -np.inf)
+                lead = np.zeros(near.shape, bool)
+                np.put_along_axis(lead, np.argsort(-near, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+                pick = lead if first else ~lead & (near + np.linalg.norm(q, axis=1)[:, None] * reach >= pdf["least"].to_numpy()[:, None])
+                qi, cell = np.nonzero(pick & (n > 0))
+                yield pdf.iloc[qi].assign(cell=cell.astype(np.int32))
+
+        return of
 
     def cell(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(q):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         q = q.sort_values("query_id")
-        codes = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1)
         found = search_cell(
-            c["id"].to_numpy(np.int64), codes, c["norm"].to_numpy(), c["corr"].to_numpy(), np.stack(c["vec"].to_numpy()),
-            q["query_id"].to_numpy(np.int64), np.stack(q["query"].to_numpy()), k, epsilon,
+            c["id"].to_numpy(np.int64), np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1), c["norm"].to_numpy(), c["corr"].to_numpy(),
+            np.stack(c["vec"].to_numpy()).astype(np.float64), shared.value[0][int(c["cell"].iloc[0])],
+            q["query_id"].to_numpy(np.int64), np.stack(q["query"].to_numpy()).astype(np.float64), q["least"].to_numpy(), k, epsilon,
         )
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
-    by = ["block", "group"]
-    met = candidates.groupBy(*by).cogroup(wanted.groupBy(*by)).applyInPandas(cell, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def search(queries: DataFrame, first: bool) -> DataFrame:
+        """The k best for (query_id, query, least) in the cells looked into first, or in all others that may matter."""
+        kind = dict(queries.dtypes)["query"]
+        probes = checkpointed(queries.mapInPandas(wanted(first), f"query_id long, query {kind}, least double, cell int"))
+        groups = {r["cell"]: -(-r["m"] // CELL_QUERIES) for r in probes.groupBy("cell").agg(F.count("*").alias("m")).collect()}  # CELLS rows at most
+        many = F.element_at(F.lit([groups.get(i, 0) for i in range(len(cells))]), F.col("cell") + 1)
+        each = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+        by = ["cell", "part", "group"]
+        candidates = coded.drop("asked").filter(many > 0).withColumn("part", dealt("id", part_of)).withColumn("group", each(many))
+        asking = probes.withColumn("group", dealt("query_id", many)).withColumn("part", each(part_of))
+        met = candidates.groupBy(*by).cogroup(asking.groupBy(*by)).applyInPandas(cell, "query_id long, vec_id long, score double")
+        return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    lead = checkpointed(search(asked.withColumn("least", F.lit(float("-inf"))), True))
+    if len(cells) <= FIRST:
+        return lead.select("query_id", "rank", "vec_id", "score")
+    bounds = lead.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    again = asked.join(bounds, "query_id", "left").select("query_id", "query", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    both = lead.drop("rank").unionByName(search(again, False).drop("rank"))
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

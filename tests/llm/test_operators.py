@@ -241,6 +241,27 @@ def test_nearest(spark):
         hits += len({f[1] for f in found} & set(want))
     assert hits / (10 * len(got)) >= 0.9
     assert ann.nearest(df.filter("false"), F.lit(True)).count() == 0
+    assert ann.nearest(df.filter("vec_id = 1001"), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["clusters", "no structure", "one cell has a third"])
+def test_nearest_over_many_cells(spark, monkeypatch, kind):
+    """Recall against brute force where the index has dozens of cells, most of them looked into or few."""
+    monkeypatch.setattr(ann, "CELL_ROWS", 64)
+    monkeypatch.setattr(ann, "CELL_QUERIES", 40)
+    r, d = np.random.default_rng(6), 48
+    v = r.normal(size=(2400, d))
+    if kind != "no structure":
+        v = 0.6 * v / np.sqrt(d) + (c := r.normal(size=(30, d)) / np.sqrt(d))[r.integers(0, 30, 2400)]
+    if kind == "one cell has a third":
+        v[:800] = c[0] + 1e-3 * r.normal(size=(800, d))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, 10).toPandas()
+    hits = 0
+    for q, rows in got.groupby("query_id"):
+        s = v @ v[q]
+        hits += len(set(rows["vec_id"]) & set([i for i in sorted(range(len(v)), key=lambda i: (-s[i], i)) if i != q][:10]))
+    assert len(got) == 1200 and hits / 1200 >= 0.97
 
 
 def test_toxicity(spark, docs, empty):
