@@ -324,12 +324,12 @@ def math_sig3(t):
     return t.events.filter("value > 0").select("event_id", extract.three_digits(F.col("value")).alias("p"))
 
 
-@query("""SELECT p_partkey, round(1000.0 / s / 3600.0 * u * 5.4, 3) AS marginal, round(u * 24 * 30 * 5.4 / (s * 3600 * 24 * 30 * 0.3 / 1000.0), 3) AS always_on, round(u * 24 * 30 * 5.4, 0) AS month,
-    round(s * 1000 / 3600.0 * u * 5.4, 2) AS by_latency, round(s * 1000 / 3600.0 * u * 5.4 / 0.3, 2) AS by_latency_used FROM (SELECT p_partkey, p_retailprice / 1000.0::DOUBLE AS u, p_size::DOUBLE AS s FROM part)""")
+@query("""SELECT p_partkey, round(1000.0 / s / 3600.0 * u * 5.37, 3) AS marginal, round(u * 24 * 30 * 5.37 / (s * 3600 * 24 * 30 * 0.3 / 1000.0), 3) AS always_on, round(u * 24 * 30 * 5.37, 0) AS month,
+    round(s * 1000 / 3600.0 * u * 5.37, 2) AS by_latency, round(s * 1000 / 3600.0 * u * 5.37 / 0.3, 2) AS by_latency_used FROM (SELECT p_partkey, p_retailprice / 1000.0::DOUBLE AS u, p_size::DOUBLE AS s FROM part)""")
 def math_cost_model(t):
     u, s = F.col("p_retailprice") / 1000.0, F.col("p_size").cast("double")
-    full, used, month = extract.cost_per_thousand(u, s, 5.4, 0.3)
-    lat, lat_used = extract.cost_by_latency(u, s, 5.4, 0.3)
+    full, used, month = extract.cost_per_thousand(u, s, 5.37, 0.3)
+    lat, lat_used = extract.cost_by_latency(u, s, 5.37, 0.3)
     return t.part.select("p_partkey", full.alias("marginal"), used.alias("always_on"), month.alias("month"), lat.alias("by_latency"), lat_used.alias("by_latency_used"))
 
 

@@ -139,12 +139,12 @@ def agg_micro_f1(t):
 
 # --- answers: refusals, citations, routes, guards ------------------------------------------------------
 
-ANSWERS = """(SELECT conv_id, turn, conv_id % 2 = 0 AS impossible, conv_id % 3 AS category, CASE WHEN turn % 3 = 1 THEN 'The contract does not specify it. ' WHEN turn % 5 = 0 THEN 'NOT_FOUND' ELSE '' END || coalesce(text, '') || CASE WHEN turn % 7 = 1 THEN ' [2]' ELSE '' END AS answer FROM conversations)"""
+ANSWERS = """(SELECT conv_id, turn, conv_id % 2 = 0 AS impossible, conv_id % 3 AS category, CASE WHEN turn % 3 = 1 THEN 'The contract does not specify it. ' WHEN turn % 5 = 0 THEN 'NOT_FOUND ' ELSE '' END || coalesce(text, '') || CASE WHEN turn % 7 = 1 THEN ' [2]' ELSE '' END AS answer FROM conversations)"""
 
 
 def answers(t):
     k = F.col("turn")
-    said = F.concat(F.when(k % 3 == 1, "The contract does not specify it. ").when(k % 5 == 0, "NOT_FOUND").otherwise(""), F.coalesce("text", F.lit("")), F.when(k % 7 == 1, " [2]").otherwise(""))
+    said = F.concat(F.when(k % 3 == 1, "The contract does not specify it. ").when(k % 5 == 0, "NOT_FOUND ").otherwise(""), F.coalesce("text", F.lit("")), F.when(k % 7 == 1, " [2]").otherwise(""))
     return t.conversations.select("conv_id", "turn", (F.col("conv_id") % 2 == 0).alias("impossible"), (F.col("conv_id") % 3).alias("category"), said.alias("answer"))
 
 
