@@ -13,8 +13,8 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 #: The six shapes of the engine benchmark, then growth, forecasts, retrieval and evaluation.
 NAMES = (
-    "agg_count_by_year", "srt_topk_tiebreak", "agg_conditional_rate", "win_rank_desc", "agg_count_distinct", "agg_total_one",
-    "win_growth_latest", "ts_backtest", "win_lags_features", "chk_window_offsets", "sec_mask_pii", "ret_dense_topk", "ret_bm25_global", "ev_psi",
+    "agg_count_by_year", "srt_topk_tiebreak", "agg_conditional_rate", "win_rank_desc", "agg_count_distinct", "flt_partition_eq",
+    "win_growth_latest", "ts_backtest", "win_lags_features", "chk_window_offsets", "sec_mask_pii_documents", "ret_dense_topk", "ret_bm25_global", "ev_psi",
 )
 
 
