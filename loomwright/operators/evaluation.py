@@ -35,16 +35,19 @@ def first_of(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
 def at_or_above(scored: DataFrame, score: str, label: str, cells: int = 4096) -> DataFrame:
     """(s, p, q, tp, fp) by distinct score: rows of label 1 and 0 at the score, and at it or above.
 
-    Scores are first counted, then cut into cells of equal width. Running sums inside cells and over
-    the at most ``cells`` + 1 cells are added, so that no window holds all scores. Null scores and
-    labels take no part.
+    Scores are first counted, then cut into cells by their magnitude, 64 to a doubling, and these
+    into cells of equal width, so that neither a long tail nor a narrow range puts them all into one.
+    Running sums inside cells and over the cells, a few thousand, are added. Null scores and labels
+    take no part.
     """
     by = scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum(label).cast("long").alias("p"), F.sum(1 - F.col(label)).cast("long").alias("q")
     )
     ends = by.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     place = F.coalesce(F.floor((F.col("s") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * cells), F.lit(0))
-    held = by.crossJoin(F.broadcast(ends)).select("s", "p", "q", place.alias("cell"))
+    size = F.floor(F.log2(F.abs("s")) * 64) + 100_000  # above 0 for any double
+    magnitude = F.when(F.col("s") > 0, size).when(F.col("s") < 0, -size).otherwise(0)
+    held = by.crossJoin(F.broadcast(ends)).select("s", "p", "q", F.struct(magnitude.alias("m"), place.alias("w")).alias("cell"))
     higher = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
     sums = held.groupBy("cell").agg(F.sum("p").alias("cp"), F.sum("q").alias("cq"))
     base = sums.select("cell", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"{c}_base") for c in ("cp", "cq")])
