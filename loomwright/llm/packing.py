@@ -114,9 +114,12 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, with_
 
 #: Gaps and units of documents, as runs: of kind GAP ``n`` sequences from ``first`` on with ``size``
 #: tokens free, of kind UNIT ``n`` units of ``size`` tokens, those from rank ``first`` on of the units of
-#: ``size`` / ``each`` documents of length ``each``.
-RUNS = "kind int, size long, each long, first long, n long"
-GAP, UNIT = 0, 1
+#: ``size`` / ``each`` documents of length ``each``. USED has the number of sequences opened as ``n``. PLACED
+#: are units that have gone into sequences from ``sequence`` on that had ``gap`` tokens free.
+RUNS = "kind int, size long, each long, first long, n long, sequence long, gap long"
+GAP, UNIT, USED, PLACED = range(4)
+#: Rounds in one job: runs are few, so that a round costs less than writing and reading them.
+ROUNDS = 4
 #: Equal documents that together take this share of a sequence or less are placed as one unit.
 SHARE = 64
 
@@ -125,46 +128,50 @@ def units(counts: DataFrame, length: int = LENGTH) -> DataFrame:
     """The runs of units of (length, n): whole units of equal documents, and what is left of them singly."""
     many = F.greatest(F.floor(F.lit(length // SHARE) / F.col("length")), F.lit(1)).cast("long")
     whole = counts.select("length", "n", many.alias("m"))
-    run = lambda size, first, n: F.struct(F.lit(UNIT).alias("kind"), size.alias("size"), F.col("length").cast("long").alias("each"), first.alias("first"), n.alias("n"))
     zero, full = F.lit(0).cast("long"), F.floor(F.col("n") / F.col("m"))
+    run = lambda size, first, n: F.struct(F.lit(UNIT).alias("kind"), size.alias("size"), F.col("length").cast("long").alias("each"), first.alias("first"), n.alias("n"), (zero - 1).alias("sequence"), zero.alias("gap"))
     both = F.array(run(F.col("m") * F.col("length"), zero, full), run(F.col("length").cast("long"), full * F.col("m"), F.col("n") - full * F.col("m")))
     return whole.select(F.inline(both)).filter("n > 0")
 
 
-def matched(runs: DataFrame) -> DataFrame:
-    """One round: rows (run of RUNS, into): where the units ``first`` .. of a run go, null for what stays
-    as it is; ``into`` has the gap's ``size`` and the ``first`` sequence.
+def swept(runs: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """One round: the placed runs of rows (kind, size, each, first, n), and the gaps and units after it.
 
-    Units and gaps are sorted by size, the largest first, and swept: each unit takes the smallest gap
-    that fits and that no larger unit has taken, at most one unit a gap. With gaps as opening and units
-    as closing brackets that is the matching of brackets, so it follows from prefix sums: a bracket
-    stands between two heights, and a unit's gap is the bracket last before it at its height.
+    Units and gaps are sorted by size, the largest first, and swept: each unit takes its successor among
+    the gaps, the smallest that fits and that no unit of a higher rank has taken, at most one unit a gap.
+    Then the gaps are updated.
     """
-    order = Window.orderBy(F.desc("size"), "kind", "first", "each")
-    signed = F.when(F.col("kind") == GAP, F.col("n")).otherwise(-F.col("n"))
-    after = F.sum(signed).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    swept = runs.withColumn("after", after).withColumn("place", F.row_number().over(order)).withColumn("low", F.least("after", F.col("after") - signed)).drop("after")
-    ends = swept.select(F.explode(F.array("low", F.col("low") + F.col("n"))).alias("at")).distinct()
-    by_height = Window.orderBy("at")
-    ends = ends.select("at", F.row_number().over(by_height).alias("step"), (F.lead("at").over(by_height) - F.col("at")).alias("wide"))
-    # cut where any run ends, so that runs at one height span the same heights
-    steps = F.broadcast(ends)
-    bottom, top = steps.select(F.col("at").alias("low"), F.col("step").alias("from")), steps.select(F.col("at").alias("high"), F.col("step").alias("to"))
-    cut = swept.withColumn("high", F.col("low") + F.col("n")).join(bottom, "low").join(top, "high")
-    cut = cut.withColumn("step", F.explode(F.sequence("from", F.col("to") - 1))).join(steps, "step")
-    cut = cut.select("kind", "size", "each", "place", "step", (F.col("first") + (F.col("at") - F.col("low")) * F.when(F.col("kind") == GAP, 1).otherwise(F.col("size") / F.col("each")).cast("long")).alias("first"), F.col("wide").alias("n"))
-    at_height = Window.partitionBy("step").orderBy("place")
-    other = lambda shift: F.when(shift("kind", 1).over(at_height) != F.col("kind"), F.struct(shift("size", 1).over(at_height).alias("size"), shift("first", 1).over(at_height).alias("first")))
-    return cut.select("kind", "size", "each", "first", "n", F.when(F.col("kind") == UNIT, other(F.lag)).otherwise(other(F.lead)).alias("into"))
-
-
-def merged(runs: DataFrame) -> DataFrame:
-    """``runs`` with those that continue one another as one."""
-    order = Window.partitionBy("kind", "size", "each").orderBy("first")
-    many = F.when(F.col("kind") == GAP, F.lit(1)).otherwise(F.col("size") / F.col("each")).cast("long")
-    starts = F.when(F.lag(F.col("first") + F.col("n") * many).over(order) == F.col("first"), 0).otherwise(1)
-    named = runs.withColumn("new", starts).withColumn("run", F.sum("new").over(order))
-    return named.groupBy("kind", "size", "each", "run").agg(F.min("first").alias("first"), F.sum("n").alias("n")).drop("run")
+    free: list[list] = []  # the gaps passed that nobody has taken, the smallest last
+    placed, gaps, rest = [], [], []
+    for kind, size, each, first, n in sorted(runs, key=lambda r: (-r[1], r[0], r[3], r[2])):
+        if kind == GAP:
+            free.append([size, first, n])
+            continue
+        while n and free:
+            gap, sequence, k = free[-1]
+            t = min(n, k)
+            placed.append((size, each, first, t, sequence, gap))
+            if gap > size:
+                gaps.append((GAP, gap - size, 1, sequence, t))
+            first, n, free[-1] = first + t * size // each, n - t, [gap, sequence + t, k - t]
+            if t == k:
+                free.pop()
+        if n:
+            rest.append((UNIT, size, each, first, n))
+    after: list[tuple] = []
+    for kind, size, each, first, n in sorted([*rest, *gaps, *((GAP, g, 1, s, k) for g, s, k in free)]):  # those that continue one another as one
+        if after and after[-1][:3] == (kind, size, each) and after[-1][3] + after[-1][4] * (size // each if kind == UNIT else 1) == first:
+            first, n = after[-1][3], after.pop()[4] + n
+        after.append((kind, size, each, first, n))
+    return placed, after
+
+
+def opened(runs: list[tuple], length: int) -> int:
+    """How many sequences a round opens: where the largest gap is too small for some units, one for each
+    over half a sequence, or where none is, as many as their tokens fill."""
+    gap = max((r[1] for r in runs if r[0] == GAP), default=0)
+    lost = [r for r in runs if r[0] == UNIT and r[1] > gap]
+    return sum(r[4] for r in lost if 2 * r[1] > length) or -(-sum(r[1] * r[4] for r in lost) // length)
 
 
 def best_fit(counts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -172,39 +179,41 @@ def best_fit(counts: DataFrame, length: int = LENGTH) -> DataFrame:
     from rank ``first`` on, ``n`` of them, ``per`` in each sequence from ``sequence`` on, from ``offset`` on.
     ``counts`` has (length, n).
 
-    Bulk-synchronous best fit over runs of equal lengths and equal gaps, of which there are as many as
-    there are lengths, whatever the number of documents. A round opens sequences where the largest gap
-    is too small for some units (one for each over half a sequence, or where none is, as many as their
-    tokens fill), sweeps all units over all gaps, and updates the gaps.
+    Bulk-synchronous best fit over runs of equal lengths and of equal gaps. Lengths and gaps are whole
+    numbers up to ``length``, so that there are a few thousand runs at most, whatever the number of
+    documents; they are range-sorted in one partition, and jobs of ROUNDS rounds follow one another,
+    each writing the gaps and units it leaves, until no unit is left.
     """
     spark = counts.sparkSession
+
+    def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(batches))
+        rows = [tuple(map(int, r)) for r in frame[["kind", "size", "each", "first", "n"]].itertuples(index=False)]
+        used = next((r[4] for r in rows if r[0] == USED), 0)
+        runs, out = [r for r in rows if r[0] != USED], []
+        for _ in range(ROUNDS):
+            if not any(r[0] == UNIT for r in runs):
+                break
+            new = opened(runs, length)
+            placed, runs = swept(runs + ([(GAP, length, 1, used, new)] if new else []))
+            used += new
+            out += [(PLACED, *p) for p in placed]
+        out += [(*r, -1, 0) for r in [*runs, (USED, 0, 1, 0, used)]]
+        yield pd.DataFrame(out, columns=frame.columns)
+
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    start = spark.createDataFrame([(USED, 0, 1, 0, 0, -1, 0)], RUNS)
+    state = written(units(counts.filter(F.col("length") < length), length).unionByName(start).coalesce(1))
+    done = []
+    while not state.filter(F.col("kind") == UNIT).isEmpty():
+        state = written(state.filter(F.col("kind") != PLACED).coalesce(1).mapInPandas(advance, RUNS))
+        done.append(state.filter(F.col("kind") == PLACED))
+    used = state.filter(F.col("kind") == USED).first()["n"]
     full = counts.filter(F.col("length") == length)
-    state = written(units(counts.filter(F.col("length") < length), length).coalesce(1))
-    done, used = [], 0
-    size, n, unit = F.col("size"), F.col("n"), F.col("kind") == UNIT
-    while True:
-        largest = state.agg(F.coalesce(F.max(F.when(~unit, size)), F.lit(0)).alias("gap"))
-        lost = state.filter(unit).crossJoin(F.broadcast(largest)).agg(
-            F.count("*").alias("runs"), F.sum(F.when((size > F.col("gap")) & (2 * size > length), n)).alias("large"), F.sum(F.when(size > F.col("gap"), size * n)).alias("tokens")
-        ).first()
-        if not lost["runs"]:
-            break
-        if lost["tokens"]:
-            opened = lost["large"] or -(-lost["tokens"] // length)
-            state = state.unionByName(spark.createDataFrame([(GAP, length, 1, used, opened)], RUNS))
-            used += opened
-        swept = written(matched(state.coalesce(1)))
-        met = swept.filter(unit & F.col("into").isNotNull())
-        done.append(met.select(
-            F.col("each").alias("length"), "first", (n * size / F.col("each")).cast("long").alias("n"), F.col("into.first").alias("sequence"),
-            (size / F.col("each")).cast("long").alias("per"), (length - F.col("into.size")).alias("offset"),
-        ))
-        smaller = met.select(F.lit(GAP).alias("kind"), (F.col("into.size") - size).alias("size"), F.lit(1).cast("long").alias("each"), F.col("into.first").alias("first"), "n").filter("size > 0")
-        state = written(merged(swept.filter("into is null").drop("into").unionByName(smaller).coalesce(1)))
-    one = F.lit(1).cast("long")
-    out = full.select(F.col("length").cast("long"), (one - 1).alias("first"), "n", F.lit(used).cast("long").alias("sequence"), one.alias("per"), (one - 1).alias("offset"))
+    out = full.select(F.col("length").cast("long"), zero.alias("first"), "n", F.lit(used).cast("long").alias("sequence"), one.alias("per"), zero.alias("offset"))
+    per = F.floor(F.col("size") / F.col("each"))
     for d in done:
-        out = out.unionByName(d)
+        out = out.unionByName(d.select(F.col("each").alias("length"), "first", (F.col("n") * per).alias("n"), "sequence", per.alias("per"), (length - F.col("gap")).alias("offset")))
     return out
 
 
