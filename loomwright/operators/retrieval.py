@@ -99,16 +99,16 @@ def letters(c: Column) -> Column:
     return F.transform(counts, lambda x: F.coalesce(x / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
 
 
-def hybrid(chunks: DataFrame, questions: DataFrame, mode: str, k: int, candidates: int = 20, scorer=None) -> DataFrame:
+def hybrid(chunks: DataFrame, questions: DataFrame, mode: str, k: int, candidates: int = 20, scorer=None, embed=letters) -> DataFrame:
     """(query_id, chunk_id, rank) of the ``k`` best by ``mode`` dense, bm25 or hybrid: ``candidates`` of each
-    ranking, fused where both are asked for, then reordered by ``scorer`` (question, passage) if given."""
+    ranking, fused where both are asked for, then reordered by ``scorer`` (question, passage) if given. ``embed`` makes a text's vector."""
     if mode not in ("dense", "bm25", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
     found = []
     if mode != "dense":
         found.append(bm25(chunks, questions, candidates))
     if mode != "bm25":
-        found.append(dense(chunks.select("chunk_id", letters(F.col("text")).alias("v")), questions.select("query_id", letters(F.col("text")).alias("q")), candidates))
+        found.append(dense(chunks.select("chunk_id", embed(F.col("text")).alias("v")), questions.select("query_id", embed(F.col("text")).alias("q")), candidates))
     ranking = (fuse(found, candidates) if len(found) > 1 else found[0]).select("query_id", "chunk_id", "rank")
     if scorer is not None:
         pairs = ranking.join(questions.select("query_id", F.col("text").alias("_q")), "query_id").join(chunks.select("chunk_id", F.col("text").alias("_c")), "chunk_id")
