@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jpeg, lines, lm, mixing, packing, quality, simhash, toxicity
+from . import align, ann, chat, jpeg, lines, lm, mixing, packing, quality, simhash, toxicity
 from .common import fold, table
 
 
@@ -70,9 +70,13 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_nearest_codes, op2_toxicity, op3_chat_repair, op4_quality, op5_simhash, op6_subword_lm, op7_progressive_jpeg,
-    op8_best_fit_packing, op9_line_dedup, op10_source_mix,
+    op8_best_fit_packing, op9_line_dedup, op10_source_mix, op11_align_tokens,
 )}
 
 #: The others have no SQL that says the same; tests/llm holds them against brute force.
