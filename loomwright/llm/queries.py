@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, chat, jpeg, lines, lm, mixing, packing, quality, simhash, toxicity
+from . import align, ann, chat, jpeg, lines, lm, mixing, packing, quality, simhash, toxicity, trie
 from .common import fold, table
 
 
@@ -74,10 +74,14 @@ def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_tree(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_nearest_codes, op2_toxicity, op3_chat_repair, op4_quality, op5_simhash, op6_subword_lm, op7_progressive_jpeg,
-    op8_best_fit_packing, op9_line_dedup, op10_source_mix, op11_align_tokens,
+    op8_best_fit_packing, op9_line_dedup, op10_source_mix, op11_align_tokens, op12_prefix_tree,
 )}
 
 #: The others have no SQL that says the same; tests/llm holds them against brute force.
-ORACLES = {"op9_line_dedup": lines.oracle(), "op10_source_mix": mixing.oracle()}
+ORACLES = {"op9_line_dedup": lines.oracle(), "op10_source_mix": mixing.oracle(), "op12_prefix_tree": trie.oracle()}
