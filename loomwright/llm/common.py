@@ -56,6 +56,22 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % n
 
 
+def hash_step(h: Column) -> Column:
+    """A whole number for the size of a 64-bit hash: 16 steps for each halving, the smallest hashes last."""
+    return F.floor(-F.log2(F.greatest(h / 2.0**64 + 0.5, F.lit(2.0**-60))) * 16)
+
+
+def steps_within(counts: dict[int, int], sample: int) -> list[int]:
+    """Steps that hold ``sample`` rows or fewer together, from the smallest hashes on; a step that does not
+    fit, such as one with a much repeated row, is left out alone."""
+    chosen, held = [], 0
+    for step in sorted(counts, reverse=True):
+        if held + counts[step] <= sample:
+            held += counts[step]
+            chosen.append(step)
+    return chosen
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, fits: Column, sample: int) -> DataFrame:
     """(doc_id, text, y) of at most ``sample`` rows of ``docs`` that ``fits`` and that are labelled 0 or
     1 (the larger of several labels): those whose ids' hashes lie below a bound, in one partition.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, chat, jpeg, lines, lm, mixing, packing, quality, simhash, toxicity, trie
+from . import align, ann, chat, jpeg, lines, lm, mixing, packing, quality, secret_spans, simhash, toxicity, trie
 from .common import fold, table
 
 
@@ -78,9 +78,20 @@ def op12_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_tree(table(spark, sf_dir, "conversations"))
 
 
+def op13_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_spans.find_secrets(docs, secret_spans.train(docs))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    base = of(*secret_spans.KINDS)
+    return found.select(
+        "doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in secret_spans.KINDS),
+        F.sha2(secret_spans.written_out(base).cast("binary"), 256).alias("base_sha256"), secret_spans.written_out(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_nearest_codes, op2_toxicity, op3_chat_repair, op4_quality, op5_simhash, op6_subword_lm, op7_progressive_jpeg,
-    op8_best_fit_packing, op9_line_dedup, op10_source_mix, op11_align_tokens, op12_prefix_tree,
+    op8_best_fit_packing, op9_line_dedup, op10_source_mix, op11_align_tokens, op12_prefix_tree, op13_secret_spans,
 )}
 
 #: The others have no SQL that says the same; tests/llm holds them against brute force.
