@@ -28,15 +28,13 @@ KINDS, ADDED, LEAST_ASSIGNED = ("assign", "access", "hex"), "crf", 6
 ASSIGNED = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 NAMES = (b"passw", b"secret", b"token", b"api")
 ACCESSED, HEXED = re.compile(ACCESS), re.compile(HEX)
-#: The same for choosing texts to learn from.
-ANY = "(?i:" + ASSIGN.replace("]+)", f"]{{{LEAST_ASSIGNED},}})") + f")|{ACCESS}|{HEX}"
 
 OUTSIDE, BEGIN, INSIDE = range(3)
 BITS = 18
 #: Texts with and without a pattern's span that are learnt from, at most so many of each, and their characters.
-SAMPLE, SAMPLE_CHARS = 400, 2_000_000
+SAMPLE, SAMPLE_CHARS = 250, 1_200_000
 #: Characters tagged in one go.
-WINDOW = 1 << 18
+WINDOW = 1 << 17
 #: Tokens a feature looks ahead or back; a code point beyond all characters pads texts apart.
 REACH, PAD = 3, 0x110000
 
@@ -255,16 +253,21 @@ class Tagger:
 
     def find(self, texts: list[str | None]) -> Iterator[list[tuple[int, int]]]:
         """(start, end) of the secrets of each text, in code points."""
-        coded = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
         held: list[np.ndarray] = []
-        for text in [*coded, None]:
-            if held and (text is None or sum(map(len, held)) + len(text) > self.window):
+        chars = 0
+        for text in texts:
+            text = text or ""
+            if held and chars + len(text) > self.window:
                 yield from self.short(held)
-                held = []
-            if text is not None and len(text) > self.window:
-                yield self.long(text)
-            elif text is not None:
-                held.append(text)
+                held, chars = [], 0
+            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            if len(code) > self.window:
+                yield self.long(code)
+            else:
+                held.append(code)
+                chars += len(code)
+        if held:
+            yield from self.short(held)
 
 
 def tags_of(t: Tokens, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -318,7 +321,7 @@ def fit(texts: list[str], steps: int = 40, length: int = 64, blind: float = 0.2,
         if len(t.word) <= 2 * REACH:
             continue
         file = np.full(len(t.word), trait(counts_of(codes[REACH:-REACH])))
-        found = np.stack(list(features(t, file, rng.random(len(t.word)) >= blind)), axis=1)
+        found = np.stack([f.astype(np.int32) for f in features(t, file, rng.random(len(t.word)) >= blind)])
         said = tags_of(t, [(s + REACH, e + REACH) for s, e in base])[REACH:-REACH]
         rows.append(found)
         tags.append(said)
@@ -326,19 +329,20 @@ def fit(texts: list[str], steps: int = 40, length: int = 64, blind: float = 0.2,
     if not rows or not any(s.any() for s in tags):
         weights[:, OUTSIDE] = 1.0
         return Field(weights.astype(np.float32), after)
-    rows, tags = np.concatenate(rows), np.concatenate(tags)
+    rows, tags = np.concatenate(rows, axis=1), np.concatenate(tags)
     fill = -len(tags) % length  # the last run ends in repeated first tokens, all the same to the others
     take = np.r_[np.arange(len(tags)), np.arange(fill) % len(tags)]
-    rows, tags = rows[take], tags[take].reshape(-1, length)
-    used, at = np.unique(rows, return_inverse=True)
-    at, w = at.reshape(rows.shape), np.zeros((len(used), 3))
+    rows, tags = rows[:, take], tags[take].reshape(-1, length)
+    used = np.flatnonzero(np.bincount(rows.ravel(), minlength=1 << BITS))
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    at, w = place[rows], np.zeros((len(used), 3))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros((3, 3)), np.zeros((3, 3))]
-    flat = at.ravel()
     for step in range(1, steps + 1):
-        e = sum(w.take(at[:, k], axis=0) for k in range(at.shape[1]))
+        e = sum(w.take(k, axis=0) for k in at)
         _, grad_e, grad_after = likelihood(e.reshape(*tags.shape, 3), after, tags)
-        spread = np.repeat(grad_e.reshape(-1, 3), at.shape[1], axis=0)
-        grads = np.stack([np.bincount(flat, spread[:, k], len(used)) for k in range(3)], axis=1) - l2 * w, grad_after - l2 * after
+        by_tag = grad_e.reshape(-1, 3).T.copy()
+        grads = np.stack([sum(np.bincount(k, g, len(used)) for k in at) for g in by_tag], axis=1) - l2 * w, grad_after - l2 * after
         for i, (value, grad) in enumerate(zip((w, after), grads)):
             m, v = state[2 * i], state[2 * i + 1]
             m *= 0.9
@@ -354,12 +358,16 @@ def train(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> F
     """A field fitted in one task on at most ``sample`` texts with a pattern's span and as many without,
     and ``chars`` characters in all: those whose hashes lie in chosen steps. A text beyond a 20th of
     ``chars`` is not learnt from. Labels come from the patterns alone."""
-    marked = docs.select("text").filter(F.length("text") <= chars // 20).select("text", F.col("text").rlike(ANY).alias("y"), hash_step(F.xxhash64("text")).alias("step"))
-    seen = marked.groupBy("y", "step").count().collect()
-    wanted = F.lit(False)
-    for y in (False, True):
-        steps = steps_within({r["step"]: r["count"] for r in seen if r["y"] == y}, sample)
-        wanted |= (F.col("y") == y) & F.col("step").isin(steps)
+
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(base_spans(t)) for t in texts], dtype=bool)
+
+    stepped = docs.select("text").filter(F.length("text") <= chars // 20).withColumn("step", hash_step(F.xxhash64("text")))
+    seen = stepped.select("step", holds("text").alias("y")).groupBy("y", "step").count().collect()
+    steps = {y: steps_within({r["step"]: r["count"] for r in seen if r["y"] == y}, sample) for y in (False, True)}
+    marked = stepped.filter(F.col("step").isin([*steps[False], *steps[True]])).withColumn("y", holds("text"))
+    wanted = F.when(F.col("y"), F.col("step").isin(steps[True])).otherwise(F.col("step").isin(steps[False]))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts, held = [], 0
