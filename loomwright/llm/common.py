@@ -74,23 +74,18 @@ def steps_within(counts: dict[int, int], sample: int) -> list[int]:
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, fits: Column, sample: int) -> DataFrame:
     """(doc_id, text, y) of at most ``sample`` rows of ``docs`` that ``fits`` and that are labelled 0 or
-    1 (the larger of several labels): those whose ids' hashes lie below a bound, in one partition.
+    1 (the larger of several labels), chosen by the hashes of their ids, in one partition.
 
-    The bound is chosen from counts by size of hash, under 1200 of them, as the largest that keeps
-    ``sample`` rows or fewer, 95 in 100 of them or more where there are as many. Ids are chosen first,
-    so that texts are not shuffled but for the rows chosen; the chosen ids go to every task.
+    Which hashes is chosen from counts by size of hash, under 1200 of them, from the smallest on, so
+    that ``sample`` rows or fewer are kept; an id repeated more often than that is passed over and costs
+    its neighbours alone. Ids are chosen first, so that texts are not shuffled but for the rows chosen;
+    the chosen ids go to every task.
     """
     marks = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
     fit = docs.filter(fits)
-    part = F.xxhash64("doc_id") / 2.0**64 + 0.5
-    ids = fit.select("doc_id").join(marks, "doc_id").withColumn("step", F.floor(-F.log2(F.greatest(part, F.lit(2.0**-60))) * 16))
-    held, least = 0, None
-    for r in sorted(ids.groupBy("step").count().collect(), key=lambda r: -r["step"]):
-        held += r["count"]
-        if held > sample:
-            break
-        least = r["step"]
-    chosen = ids.filter(F.lit(False) if least is None else F.col("step") >= least).select("doc_id", "y").distinct()
+    ids = fit.select("doc_id").join(marks, "doc_id").withColumn("step", hash_step(F.xxhash64("doc_id")))
+    steps = steps_within({r["step"]: r["count"] for r in ids.groupBy("step").count().collect()}, sample)
+    chosen = ids.filter(F.col("step").isin(steps)).select("doc_id", "y").distinct()
     rows = fit.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
 

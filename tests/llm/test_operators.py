@@ -574,3 +574,15 @@ def test_chat(spark, empty, monkeypatch):
     assert sum(map(len, parts.values())) == len(rows)
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_chats(turns).count() == 0
+
+
+def test_an_id_repeated_beyond_the_sample_leaves_the_others(spark):
+    from loomwright.llm.common import labelled, steps_within
+
+    rows = [(7, "hot")] * 500 + [(i, f"text {i}") for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(7, 1), *((i, i % 2) for i in range(100, 160))], "doc_id long, toxic int")
+    got = labelled(docs, marks, "toxic", F.lit(True), 100)
+    assert {r["doc_id"] for r in got.collect()} == set(range(100, 160)) and got.rdd.getNumPartitions() == 1
+    assert steps_within({3: 5, 2: 100, 1: 6, 0: 1}, 12) == [3, 1, 0] and steps_within({}, 5) == []
+    assert labelled(docs.limit(0), marks, "toxic", F.lit(True), 100).count() == 0
