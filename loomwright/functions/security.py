@@ -33,10 +33,35 @@ INJECTION = (
     ("marcadores-role", r"\[/?INST\]|<\|[^|]*\|>|###\s*(system|instruction)"),
 )
 
+#: What the patterns call a character of a word, a digit and white space, in Unicode, as Java writes it.
+WORD, DIGIT, BLANK = r"\p{L}\p{N}_", r"\p{Nd}", r"[\t-\r\x1C-\x20\x85\p{Z}]"
+
+
+def unicode_pattern(pattern: str) -> str:
+    """A pattern of PII over all of Unicode. An address is looked for once from where its characters begin
+    or the last match ended, so that a long run of them is passed in one go; the signs that no word end
+    separates from what stands before are the first group."""
+    if "@" in pattern:
+        return rf"(?:(?<=[{WORD}])\G|(?<![{WORD}.+-])([.+-]*+)(?=[{WORD}]))[{WORD}.+-]++@[{WORD}-]++\.[{WORD}.-]*[{WORD}]"
+    bare = pattern.removeprefix(r"\b").removesuffix(r"\b").replace(r"\d", DIGIT).replace(r"\s", BLANK)
+    before, after = f"(?<![{WORD}])" if pattern.startswith(r"\b") else "", f"(?![{WORD}])" if pattern.endswith(r"\b") else ""
+    return before + bare + after
+
+
 def mask_pii(c: Column) -> Column:
-    for pattern, label in PII:
-        c = F.regexp_replace(c, pattern, label)
-    return c
+    """Personal data replaced by its label, pattern by pattern. Texts without two digits in a row, or
+    without an @, pass the patterns that need them unread."""
+    numbers = c.rlike(DIGIT + "{2}")
+
+    def masked(c: Column, digits: bool) -> Column:
+        for pattern, label in PII:
+            if "@" in pattern:
+                c = F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, unicode_pattern(pattern), "$1" + label)).otherwise(c)
+            elif digits:
+                c = F.regexp_replace(c, unicode_pattern(pattern), label)
+        return c
+
+    return F.when(numbers, masked(c, True)).otherwise(masked(c, False))
 
 
 def plain_ascii(c: Column) -> Column:
