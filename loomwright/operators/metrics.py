@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .evaluation import at_or_above
+from .quantiles import exact_quantiles
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -44,7 +45,8 @@ def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def psi(base: DataFrame, recent: DataFrame, value: str, bins: int = 10, eps: float = 1e-6) -> DataFrame:
     """Population stability index over quantile bins of ``base``; open at both ends."""
-    cuts = base.agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("cuts"))
+    names = {f"c{i}": i / bins for i in range(1, bins)}
+    cuts = exact_quantiles(base, [], value, cont=names).select(F.array(*names).alias("cuts"))
     def dist(df: DataFrame, name: str) -> DataFrame:
         binned = df.crossJoin(F.broadcast(cuts)).select(F.size(F.filter("cuts", lambda c: c <= F.col(value))).alias("bin"))
         counts = binned.groupBy("bin").agg(F.count("*").alias("c"))

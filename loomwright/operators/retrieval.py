@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from ..sources.sinks import written
+from .quantiles import exact_quantiles
 
 K1, B, EPSILON, K_RRF = 1.5, 0.75, 0.25, 60
 
@@ -134,5 +136,7 @@ def report(evaluated: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFra
 def separation(ranking: DataFrame, gold: DataFrame) -> DataFrame:
     """Tenth, half and nine tenths of the best scores of questions with a relevant chunk, and of those without."""
     best = ranking.filter("rank = 1").select("query_id", "score").join(gold.select("query_id").distinct().withColumn("_g", F.lit(True)), "query_id", "left")
-    disc = lambda p: F.expr(f"round(percentile_disc({p}) WITHIN GROUP (ORDER BY score), 3)")
-    return best.groupBy(F.coalesce("_g", F.lit(False)).alias("answerable")).agg(F.count("*").alias("n"), disc(0.1).alias("p10"), disc(0.5).alias("p50"), disc(0.9).alias("p90"))
+    split = written(best.select(F.coalesce("_g", F.lit(False)).alias("answerable"), "score"), "best")
+    parts = exact_quantiles(split, ["answerable"], "score", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    counts = split.groupBy("answerable").agg(F.count("*").alias("n"))
+    return counts.join(parts, "answerable").select("answerable", "n", *(F.round(p, 3).alias(p) for p in ("p10", "p50", "p90")))

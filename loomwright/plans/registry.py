@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import security, text
-from ..operators import clauses, forecast, metrics, retrieval, star
+from ..operators import clauses, forecast, metrics, quantiles, retrieval, star
 from ..streaming import masking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,8 +121,9 @@ def agg_count_distinct_group(t):
 
 @query("SELECT event_type, count(*) AS n, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
 def agg_percentiles(t):
-    disc = lambda p: F.expr(f"round(percentile_disc({p}) WITHIN GROUP (ORDER BY value), 6)")
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), disc(0.5).alias("p50"), disc(0.95).alias("p95"), F.round(F.percentile("value", 0.9), 6).alias("p90"))
+    parts = quantiles.exact_quantiles(t.events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}, {"p90": 0.9})
+    counts = t.events.groupBy("event_type").agg(F.count("*").alias("n"))
+    return counts.join(parts, "event_type").select("event_type", "n", *(F.round(p, 6).alias(p) for p in ("p50", "p95", "p90")))
 
 
 @query("SELECT coalesce(round(sum(o_totalprice), 2), 0.0) AS total, 'ok' AS none FROM orders WHERE o_orderpriority = '2-HIGH'")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
-from ..operators import learn, retrieval, star
+from ..operators import learn, quantiles, retrieval, star
 from ..sources import files, sinks
 from .registry import CHUNKS, NATION_MONTHLY, nation_monthly, nation_orders, orders_monthly, query
 
@@ -298,8 +298,9 @@ def agg_mean_round(t):
 
 @query("SELECT event_type, round(quantile_disc(value, 0.5), 3) AS p50, round(quantile_disc(value, 0.95), 3) AS p95, round(avg(value), 3) AS mean, round(count(*) FILTER (user_id % 3 = 0) / count(*), 3) AS hit_rate FROM events GROUP BY 1")
 def agg_latency(t):
-    disc = lambda p: F.expr(f"round(percentile_disc({p}) WITHIN GROUP (ORDER BY value), 3)")
-    return t.events.groupBy("event_type").agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"), F.round(F.avg("value"), 3).alias("mean"), F.round(F.count_if(F.col("user_id") % 3 == 0) / F.count("*"), 3).alias("hit_rate"))
+    parts = quantiles.exact_quantiles(t.events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    means = t.events.groupBy("event_type").agg(F.round(F.avg("value"), 3).alias("mean"), F.round(F.count_if(F.col("user_id") % 3 == 0) / F.count("*"), 3).alias("hit_rate"))
+    return means.join(parts, "event_type").select("event_type", F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"), "mean", "hit_rate")
 
 
 @query("""WITH v AS (SELECT doc_id, quality AS vote FROM labels UNION ALL SELECT doc_id, toxic FROM labels UNION ALL SELECT doc_id, doc_id % 2 FROM labels), c AS (SELECT doc_id, vote, count(*) AS c FROM v GROUP BY 1, 2)
