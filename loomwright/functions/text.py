@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,33 +131,3 @@ def pack_greedy(blocks: Column, most: int) -> Column:
         return F.struct(F.when(fits, done).otherwise(flushed).alias("done"), F.when(fits, joined).otherwise(block).alias("open"))
 
     return F.aggregate(blocks, state, step, lambda a: F.when(a.getField("open") == "", a.getField("done")).otherwise(F.concat(a.getField("done"), F.array(a.getField("open")))))
-
-
-def places(c: Column, passage: Column) -> Column:
-    """Offsets of all places of a passage that is not empty, those that overlap included."""
-    def of(text: pd.Series, passage: pd.Series) -> pd.Series:
-        def one(s, p):
-            if not s or not p:
-                return []
-            out, at = [], s.find(p)
-            while at >= 0:
-                out.append(at)
-                at = s.find(p, at + 1)
-            return out
-
-        return pd.Series([one(s, p) for s, p in zip(text, passage, strict=True)], dtype=object)
-
-    return F.pandas_udf(of, "array<int>")(c, passage)
-
-
-def shingles(c: Column, n: int) -> Column:
-    """The distinct runs of ``n`` words between single spaces."""
-
-    def of(text: pd.Series) -> pd.Series:
-        def one(s):
-            words = s.split(" ") if s else []
-            return list(dict.fromkeys(" ".join(words[i : i + n]) for i in range(len(words) - n + 1)))
-
-        return pd.Series([one(s) for s in text], dtype=object)
-
-    return F.pandas_udf(of, "array<string>")(c)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import security, text
-from ..operators import clauses, forecast, metrics, quantiles, retrieval, star
+from ..operators import clauses, forecast, metrics, passages, quantiles, retrieval, star
 from ..streaming import masking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,46 +241,29 @@ def chk_window_offsets(t):
     return chunks(t).select("doc_id", "chunk_no", "start", "stop", F.md5(piece).alias("digest"))
 
 
-@query(f"""WITH c AS ({CHUNKS}), s AS (SELECT d.doc_id, b.item_id, CAST(strpos(d.text, b.text) - 1 AS INTEGER) AS a, CAST(strpos(d.text, b.text) - 1 + length(b.text) AS INTEGER) AS z FROM documents d JOIN benchmark b ON contains(d.text, b.text))
-    SELECT s.item_id, c.doc_id, c.chunk_no FROM s JOIN c ON s.doc_id = c.doc_id AND s.a < c.stop AND s.z > c.start""")
-def jn_span_overlap(t):
-    spans = passages(t).select("doc_id", "item_id", (F.instr("text", F.col("passage")) - 1).alias("a"), (F.instr("text", F.col("passage")) - 1 + F.length("passage")).alias("z"))
-    return overlapped(t, spans)
+PLACES = """p AS (SELECT d.doc_id, d.text, b.item_id, b.text AS passage FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''),
+    s AS (SELECT doc_id, item_id, i AS a, i + length(passage) AS z FROM (SELECT *, unnest(range(length(text) - length(passage) + 1)) AS i FROM p) WHERE substr(text, CAST(i + 1 AS BIGINT), length(passage)) = passage)"""
 
 
-@query(f"""WITH c AS ({CHUNKS}), p AS (SELECT d.doc_id, d.text, b.item_id, b.text AS passage FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''),
-    s AS (SELECT doc_id, item_id, i AS a, i + length(passage) AS z FROM (SELECT *, unnest(range(length(text) - length(passage) + 1)) AS i FROM p) WHERE substr(text, CAST(i + 1 AS BIGINT), length(passage)) = passage)
-    SELECT s.item_id, c.doc_id, c.chunk_no, count(*) AS n FROM s JOIN c ON s.doc_id = c.doc_id AND s.a < c.stop AND s.z > c.start GROUP BY 1, 2, 3""")
-def jn_span_overlap_all(t):
-    found = passages(t).filter("passage <> ''").select("doc_id", "item_id", F.length("passage").alias("n"), F.explode(text.places(F.col("text"), F.col("passage"))).alias("a"))
-    spans = found.select("doc_id", "item_id", "a", (F.col("a") + F.col("n")).alias("z"))
-    return overlapped(t, spans).groupBy("item_id", "doc_id", "chunk_no").agg(F.count("*").alias("n"))
+def places(t: Tables) -> DataFrame:
+    """(doc_id, item_id, start, end): every place of a benchmark passage in a document."""
+    return passages.places(t.documents, t.benchmark, "doc_id", "text", "item_id", "text")
 
 
-def passages(t: Tables, k: int = 4) -> DataFrame:
-    """(doc_id, text, item_id, passage): the passages that a text contains.
+def overlapped(t: Tables) -> DataFrame:
+    """(item_id, doc_id, chunk_no, start, end): the chunks that each place of a passage shares characters with."""
+    windows = chunks(t).select("doc_id", "chunk_no", F.col("start").alias("from"), F.col("stop").alias("to"))
+    return passages.overlapping(places(t), windows, "doc_id", CHUNK)
 
-    What stands between the first and the last space of a passage stands between spaces in the text
-    too; texts and passages meet at the hash of its first k words or fewer. Only passages without
-    such words meet every text.
-    """
-    words = F.split("passage", " ")
-    b = t.benchmark.select("item_id", F.col("text").alias("passage")).withColumn("k", F.least(F.greatest(F.size(words) - 2, F.lit(0)), F.lit(k)))
-    b = b.withColumn("h", F.xxhash64("k", F.array_join(F.slice(words, F.lit(2), F.col("k")), " ")))
-    d = t.documents.select("doc_id", "text")
-    sizes = sorted(r["k"] for r in b.filter("k > 0").select("k").distinct().collect())  # k of them at most
-    met = d.select("doc_id").limit(0).join(b.select("item_id", "passage").limit(0))
-    for n in sizes:
-        shingles = d.select("doc_id", F.explode(text.shingles(F.col("text"), n)).alias("s")).select("doc_id", F.xxhash64(F.lit(n), "s").alias("h"))
-        met = met.unionByName(shingles.join(b.filter(F.col("k") == n), "h").select("doc_id", "item_id", "passage"))
-    near = met.join(d, "doc_id").filter(F.contains("text", "passage"))
-    rest = d.join(b.filter("k = 0").select("item_id", "passage"), F.contains("text", "passage"))
-    return near.select("doc_id", "text", "item_id", "passage").unionByName(rest.select("doc_id", "text", "item_id", "passage"))
 
+@query(f"WITH c AS ({CHUNKS}), {PLACES} SELECT DISTINCT s.item_id, c.doc_id, c.chunk_no FROM s JOIN c ON s.doc_id = c.doc_id AND s.a < c.stop AND s.z > c.start")
+def jn_span_overlap(t):
+    return overlapped(t).select("item_id", "doc_id", "chunk_no").distinct()
 
-def overlapped(t: Tables, spans: DataFrame) -> DataFrame:
-    c = chunks(t).select("doc_id", "chunk_no", "start", "stop")
-    return spans.join(c, "doc_id").filter((F.col("a") < F.col("stop")) & (F.col("z") > F.col("start"))).select("item_id", "doc_id", "chunk_no")
+
+@query(f"WITH c AS ({CHUNKS}), {PLACES} SELECT s.item_id, c.doc_id, c.chunk_no, count(*) AS n FROM s JOIN c ON s.doc_id = c.doc_id AND s.a < c.stop AND s.z > c.start GROUP BY 1, 2, 3")
+def jn_span_overlap_all(t):
+    return overlapped(t).groupBy("item_id", "doc_id", "chunk_no").agg(F.count("*").alias("n"))
 
 
 # --- text ---------------------------------------------------------------------------------------
@@ -395,7 +378,7 @@ def ev_recall_at_k(t):
 
 def gold(t: Tables) -> DataFrame:
     """(query_id, chunk_id): the documents that hold a benchmark passage."""
-    return passages(t).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))
+    return places(t).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id")).distinct()
 
 
 DENSE_SQL = """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import extract, text
 from ..operators import learn, quantiles, retrieval, star
 from ..sources import files, sinks
-from .registry import CHUNKS, NATION_MONTHLY, nation_monthly, nation_orders, orders_monthly, query
+from .registry import CHUNKS, NATION_MONTHLY, PLACES, nation_monthly, nation_orders, orders_monthly, query
+from .registry import places as passage_places
 
 # --- written and read again ----------------------------------------------------------------------
 
@@ -335,14 +336,14 @@ def agg_chunker_diag(t):
     return n.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n_docs"), F.sum("n").cast("long").alias("n_chunks"), F.max(F.col("n").cast("long")).alias("most"))
 
 
-@query(f"""WITH s AS (SELECT d.text, b.text AS passage, strpos(d.text, b.text) - 1 + item_id % 2 AS place FROM documents d JOIN benchmark b ON contains(d.text, b.text))
-    SELECT count(*) AS n_spans, count(*) FILTER (substr(text, CAST(place + 1 AS BIGINT), length(passage)) <> passage) AS n_off FROM s""")
+@query(f"""WITH {PLACES}, k AS (SELECT p.text, p.passage, s.a + s.item_id % 2 AS place FROM s JOIN p USING (doc_id, item_id))
+    SELECT count(*) AS n_spans, count(*) FILTER (substr(text, CAST(place + 1 AS BIGINT), length(passage)) <> passage) AS n_off FROM k""")
 def agg_offset_audit(t):
-    from .registry import passages
-
-    at = F.instr("text", F.col("passage")) - 1 + F.col("item_id") % 2
-    off = F.substring(F.col("text"), (at + 1).cast("int"), F.length("passage")) != F.col("passage")
-    return passages(t).agg(F.count("*").alias("n_spans"), F.count_if(off).alias("n_off"))
+    """Noted places of passages held against the texts; those of odd items were noted one character late."""
+    noted = passage_places(t).select("doc_id", "item_id", (F.col("start") + F.col("item_id") % 2).cast("int").alias("start"))
+    said = noted.join(t.documents.select("doc_id", "text"), "doc_id").join(t.benchmark.select("item_id", F.col("text").alias("passage")), "item_id")
+    off = F.substring(F.col("text"), F.col("start") + 1, F.length("passage")) != F.col("passage")
+    return said.agg(F.count("*").alias("n_spans"), F.count_if(off).alias("n_off"))
 
 
 @query("SELECT a.doc_id, CAST(a.quality AS INTEGER) AS first, CAST(b.toxic AS INTEGER) AS second FROM labels a JOIN labels b ON a.doc_id = b.doc_id")
