@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from ..functions.text import tokens
 from ..sources.sinks import written
+from .impact import bm25
 from .quantiles import exact_quantiles
 
-K1, B, EPSILON, K_RRF = 1.5, 0.75, 0.25, 60
+K_RRF = 60
 
 
 def top(scored: DataFrame, k: int, *by: str, query: str = "query_id", item: str = "chunk_id", score: str = "score") -> DataFrame:
@@ -18,32 +19,6 @@ def top(scored: DataFrame, k: int, *by: str, query: str = "query_id", item: str
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, chunk_id, score, rank) of (chunk_id, text) and (query_id, text).
-
-    Terms with a negative inverse frequency get EPSILON times the mean over the vocabulary. Words of
-    a question count as often as they occur. Document frequencies are counted over all words, each
-    chunk's own once; how often a chunk has a word is counted only for the words of questions. With ``by``, columns of ``chunks``, every question is asked in
-    each group, whose statistics are its own; chunks with a null group are left out.
-    """
-    cut = chunks.select(*by, "chunk_id", tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-
-    def known(rows: DataFrame, sums: DataFrame) -> DataFrame:
-        return rows.join(sums, list(by)) if by else rows.crossJoin(F.broadcast(sums))
-
-    asked = questions.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    df = cut.select(*by, F.explode(F.array_distinct("terms")).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("df"))
-    raw = known(df, cut.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    weight = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    idf = known(raw, raw.groupBy(*by).agg(F.avg("raw").alias("mean"))).select(*by, "term", "avgdl", weight.alias("idf"))
-    tf = cut.select(*by, "chunk_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = tf.groupBy(*by, "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    met = asked.join(idf, "term").join(tf, [*by, "term"])
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = met.groupBy(*by, "query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored, k, *by)
-
-
 def dense(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """Inner products of (chunk_id, v) with a stated set of questions (query_id, q)."""
     dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
