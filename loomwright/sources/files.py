@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sinks import written
+
 
 def read_csv_latin1(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
     """``;`` separated ISO-8859-1 files as text, missing values empty, with the file's name in ``file``.
@@ -34,13 +39,83 @@ def read_csv_quoted(spark: SparkSession, paths: str | list[str], columns: list[s
 def read_conll(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, sentence, tokens, tags) of ``token TAG`` lines; empty lines end a sentence.
 
-    Each file is one task's row of text: the order of its lines is what makes the sentences.
+    Files of any size are read split by split. A split gives its sentences in pieces, and says whether
+    its first line may go on with a sentence and whether its last one is left open; from these states,
+    summed over a file's splits, each piece gets its sentence's number (from 0). Only pieces at the ends
+    of splits are put together. Lines without a tag are left out, and a sentence without any line too.
     """
-    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    parts = text.select("file", F.posexplode(F.split("value", r"\r?\n[ \t]*\r?\n")).alias("sentence", "part"))
-    lines = F.filter(F.split("part", r"\r?\n"), lambda x: x.rlike(r"^\S+\s+\S+"))
-    both = parts.select("file", "sentence", F.transform(lines, lambda x: F.split(F.trim(x), r"\s+")).alias("w")).filter(F.size("w") > 0)
-    return both.select("file", "sentence", F.transform("w", lambda x: x[0]).alias("tokens"), F.transform("w", lambda x: F.element_at(x, -1)).alias("tags"))
+    text = spark.read.text(paths).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), "value")
+    pieces = text.mapInArrow(sentence_pieces, "file string, path string, split long, place long, starts boolean, open boolean, n long, tokens array<string>, tags array<string>")
+    pieces = written(pieces, "sentences")
+    state = pieces.filter("n is not null").select("path", "split", F.col("open").alias("left_open"), "n", (~F.col("starts")).alias("goes_on"))
+    order = Window.partitionBy("path").orderBy("split")
+    begins = F.col("n") + F.when(F.col("goes_on") & ~F.coalesce(F.lag("left_open").over(order), F.lit(False)), 1).otherwise(0)
+    joined = state.withColumn("begins", begins).select(
+        "path", "split", (F.sum("begins").over(order) - F.col("begins")).alias("before"), (F.col("goes_on") & (F.col("begins") > F.col("n"))).alias("fresh")
+    )
+    rows = pieces.filter("n is null").join(joined, ["path", "split"])
+    # a piece that starts counts itself; one that goes on belongs to the sentence before, unless none was left open
+    number = F.col("before") + F.col("place") + F.when(F.col("fresh"), 1).otherwise(0) - 1
+    rows = rows.select("path", "file", number.alias("sentence"), "split", "place", (F.col("open") | ~F.col("starts")).alias("edge"), "tokens", "tags")
+    edges = rows.filter("edge").groupBy("path", "file", "sentence").agg(F.sort_array(F.collect_list(F.struct("split", "place", "tokens", "tags"))).alias("p"))
+    whole = edges.select("file", "sentence", F.flatten("p.tokens").alias("tokens"), F.flatten("p.tags").alias("tags"))
+    return rows.filter("not edge").select("file", "sentence", "tokens", "tags").unionByName(whole).filter(F.size("tokens") > 0)
+
+
+def sentence_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of sentences of each run of lines of one split, and one row with the split's state after
+    them: in ``n`` how many pieces started in it, in ``starts`` whether its first line began one or
+    was empty, in ``open`` whether its last one is not ended."""
+    key, out = None, []
+    place, tokens, tags, starts, some, first = 0, [], [], False, False, True
+
+    def piece(open_: bool) -> None:
+        nonlocal tokens, tags, some, starts
+        if some:
+            out.append((*key, place, starts, open_, None, tokens, tags))
+        tokens, tags, some, starts = [], [], False, True
+
+    def state() -> tuple:
+        return (*key, 0, first, some, place, None, None)
+
+    def batch() -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), PIECE_TYPES)] if out else [pa.array([], t) for t in PIECE_TYPES], PIECE_NAMES)
+        out.clear()
+        return rows
+
+    for rows in batches:
+        for at in zip(*(rows.column(c).to_pylist() for c in ("file", "path", "split", "value"))):
+            if at[:3] != key:
+                if key is not None:
+                    last = state()
+                    piece(True)
+                    out.append(last)
+                key, place, starts, some, first = at[:3], 0, False, False, None
+            line = at[3].rstrip("\r")
+            bare = not line.strip(" \t")
+            if first is None:
+                first = bare
+            if bare:
+                piece(False)
+                starts = True
+                continue
+            if not some:
+                some = True
+                place += starts
+            words = line.split()
+            if len(words) > 1 and not line[0].isspace():
+                tokens.append(words[0])
+                tags.append(words[-1])
+        yield batch()
+    if key is not None:
+        last = state()
+        piece(True)
+        out.append(last)
+    yield batch()
+
+
+PIECE_NAMES = ["file", "path", "split", "place", "starts", "open", "n", "tokens", "tags"]
+PIECE_TYPES = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
 
 
 def read_squad(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
