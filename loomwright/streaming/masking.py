@@ -1,4 +1,4 @@
-"""Streams: personal data masked across fragments, ingestion by micro-batches, event-time windows."""
+"""Streams: personal data masked across fragments, event-time windows."""
 
 from __future__ import annotations
 
@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions.security import PII
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Characters held back, and the longest text kept while no space comes.
 HOLD, MOST = 96, 1 << 16
 PATTERNS = [(re.compile(p), label) for p, label in PII]
@@ -42,32 +42,50 @@ def safe_cut(text: str, hold: int = HOLD) -> int:
     return max(at, 0)
 
 
-def mask_fragments(fragments: DataFrame) -> DataFrame:
-    """(stream_id, text) masked pieces of a stream of (stream_id, pos, piece, last), in order.
+class Masker(StatefulProcessor):
+    """Holds what a stream has not let go yet, and lets go of it ``quiet`` milliseconds after its last fragment."""
 
-    Fragments of a micro-batch are taken by ``pos``; null pieces are empty. What is held is let go
-    when a fragment with ``last`` comes.
-    """
+    def __init__(self, quiet: int):
+        self.quiet = quiet
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("pos")
-        held = (state.get[0] if state.exists else "") + "".join(p if isinstance(p, str) else "" for p in rows["piece"])
-        ended = bool(rows["last"].fillna(False).any())
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("held", "held string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        came = pd.concat(list(rows)).sort_values("pos")
+        held = (self.held.get()[0] if self.held.exists() else "") + "".join(p if isinstance(p, str) else "" for p in came["piece"])
+        ended = bool(came["last"].fillna(False).any())
         cut = len(held) if ended else safe_cut(held)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if ended:
-            if state.exists:
-                state.remove()
+            self.held.clear()
         else:
-            state.update((held[cut:],))
-        if cut:
-            yield pd.DataFrame({"stream_id": [key[0]], "text": [mask(held[:cut])]})
+            self.held.update((held[cut:],))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet)
+        yield from self.said(key, held[:cut])
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self.held.get()[0] if self.held.exists() else ""
+        self.held.clear()
+        yield from self.said(key, held)
 
-    return fragments.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, text string", "held string", "append", GroupStateTimeout.NoTimeout)
+    def said(self, key: tuple, text: str) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"stream_id": pd.Series([key[0]] if text else [], dtype="int64"), "text": pd.Series([mask(text)] if text else [], dtype="object")})
 
+    def close(self) -> None:
+        pass
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, by: str) -> StreamingQuery:
-    """All files that are there, batch by batch, into Parquet folders by ``by``."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy(by).trigger(availableNow=True).start()
+
+def mask_fragments(fragments: DataFrame, quiet: int = 600_000) -> DataFrame:
+    """(stream_id, text) masked pieces of a stream of (stream_id, pos, piece, last), in order.
+
+    Fragments of a micro-batch are taken by ``pos``; null pieces are empty. What is held is let go, masked,
+    when a fragment with ``last`` comes, or when none has come for ``quiet`` milliseconds, so that a
+    stream that never ends leaves no state. Timers need the session's RocksDB state store, which is set.
+    """
+    fragments.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return fragments.groupBy("stream_id").transformWithStateInPandas(Masker(quiet), "stream_id long, text string", "append", "processingTime")
 
 
 def windowed_counts(events: DataFrame, ts: str, by: str, size: str = "1 day", late: str = "1 hour") -> DataFrame:
