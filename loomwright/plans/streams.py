@@ -6,18 +6,21 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnose, learn
 from ..sources import files, sinks
-from ..streaming import masking
+from ..streaming import ledger, masking
 from .registry import _sql_mask, query
 
 
 @query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def st_ingest_batches(t):
-    """Orders as a stream of files, ingested batch by batch into folders by year, and read back."""
+    """Orders as a stream of files, ingested batch by batch, each written once, and read back. Then the stream's
+    progress is lost and it starts again from its first batch, which adds nothing."""
     source, path = sinks.scratch(t.spark, "arriving"), sinks.scratch(t.spark, "ingested")
     t.orders.select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year")).repartition(3).write.parquet(source)
     stream = t.spark.readStream.schema("o_orderkey long, o_totalprice double, year int").option("maxFilesPerTrigger", 1).parquet(source)
-    masking.ingest(stream, path, sinks.scratch(t.spark, "progress"), "year").awaitTermination()
-    return t.spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    for progress in ("progress", "lost"):
+        ledger.ingest(stream, path, sinks.scratch(t.spark, progress), "orders", "year").awaitTermination()
+    rows = ledger.ingested(t.spark, path, "o_orderkey long, o_totalprice double, year int")
+    return rows.groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query(f"SELECT conv_id * 1000 + turn AS stream_id, {_sql_mask('text')} AS masked FROM conversations WHERE length(text) > 0")
@@ -29,8 +32,7 @@ def st_mask_stream(t):
     cut = said.select("stream_id", F.length("text").alias("n"), F.posexplode(pieces).alias("pos", "piece"))
     cut.select("stream_id", "pos", "piece", (F.col("pos") == F.floor((F.col("n") - 1) / 7)).alias("last")).write.parquet(source)
     stream = t.spark.readStream.schema("stream_id long, pos int, piece string, last boolean").parquet(source)
-    out = masking.mask_fragments(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", sinks.scratch(t.spark, "progress"))
-    out.trigger(availableNow=True).start().awaitTermination()
+    masking.mask_available(stream, path, sinks.scratch(t.spark, "progress"))
     return t.spark.read.schema("stream_id long, text string").parquet(path).select("stream_id", F.col("text").alias("masked"))
 
 

@@ -88,6 +88,20 @@ def mask_fragments(fragments: DataFrame, quiet: int = 600_000) -> DataFrame:
     return fragments.groupBy("stream_id").transformWithStateInPandas(Masker(quiet), "stream_id long, text string", "append", "processingTime")
 
 
+def mask_available(fragments: DataFrame, path: str, checkpoint: str, quiet: int = 600_000) -> None:
+    """All fragments that are there, masked into Parquet files in ``path``. Batches without fragments are not
+    run meanwhile: a run over what is there would else go on for as long as it has state. Timers whose
+    time has come fire with the next batch of any stream."""
+    conf, name = fragments.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        out = mask_fragments(fragments, quiet).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        out.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(name, before)
+
+
 def windowed_counts(events: DataFrame, ts: str, by: str, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Rows by window and ``by``; the same plan on a stream drops rows later than the watermark."""
     found = events.withWatermark(ts, late) if events.isStreaming else events

@@ -20,17 +20,17 @@ def test_a_silent_stream_is_let_go(spark, tmp_path):
     add = lambda n, rows: spark.createDataFrame(rows, FRAGMENT).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
     add(0, [(1, 0, "mail ana@", False), (1, 1, "b.com", False), (2, 0, "cpf 123.456.", False)])
     stream = spark.readStream.schema(FRAGMENT).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    out = masking.mask_fragments(stream, quiet=500).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
-    out.trigger(availableNow=True).start().awaitTermination(120)
+    run = lambda: masking.mask_available(stream, str(tmp_path / "out"), str(tmp_path / "state"), quiet=500)
+    run()
     time.sleep(1.0)
     add(1, [(3, 0, "olá", True)])
-    out.trigger(availableNow=True).start().awaitTermination(120)
+    run()
     said = {r["stream_id"]: r["text"] for r in spark.read.schema("stream_id long, text string").parquet(str(tmp_path / "out")).collect()}
     assert said == {1: "mail [EMAIL]", 2: "cpf 123.456.", 3: "olá"}
     assert sum(1 for _ in glob.glob(str(tmp_path / "state/offsets/[0-9]*"))) >= 2
     # nothing is held any more: what comes for stream 1 now stands alone
     add(2, [(1, 9, "novo", True)])
-    out.trigger(availableNow=True).start().awaitTermination(120)
+    run()
     later = [r["text"] for r in spark.read.schema("stream_id long, text string").parquet(str(tmp_path / "out")).filter("stream_id = 1").collect()]
     assert sorted(later) == ["mail [EMAIL]", "novo"]
 
