@@ -17,8 +17,8 @@ def folds(df: DataFrame, key: str, n: int = 5, seed: int = 42) -> DataFrame:
     return df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n)).cast("int"))
 
 
-def area(scored: DataFrame, label: str) -> float:
-    return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability").evaluate(scored)
+def area(scored: DataFrame, label: str, metric: str = "areaUnderROC") -> float:
+    return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability", metricName=metric).evaluate(scored)
 
 
 def cross_validate(df: DataFrame, key: str, label: str, numeric: list[str], categories: list[str], model: str = "logistic", n: int = 5) -> DataFrame:

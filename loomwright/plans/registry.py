@@ -505,4 +505,4 @@ def chk_clause(t):
     return clauses.clause_chunks(t.documents, "doc_id", "text")
 
 
-from . import evaluation, extraction, reports, streams, warehouse  # noqa: E402, F401  they register their queries
+from . import evaluation, extraction, ingest, reports, streams, warehouse  # noqa: E402, F401  they register their queries

@@ -48,7 +48,7 @@ def src_conll(t):
     return rows.select(F.md5(F.array_join("tokens", " ")).alias("digest"), F.size("tokens").cast("long").alias("n"), F.size(F.filter("tags", lambda x: x != "O")).cast("long").alias("n_tagged"))
 
 
-def _labelled(t):
+def labelled(t):
     words = F.size(F.split("text", " ")).cast("double")
     return t.documents.join(t.labels, "doc_id").select("doc_id", "quality", "lang", F.col("n_chars").cast("double").alias("size"), words.alias("words"), (F.col("n_chars") / words).alias("mean"))
 
@@ -56,10 +56,22 @@ def _labelled(t):
 NUMERIC = ["size", "words", "mean"]
 
 
+def _parts(t):
+    """The labelled documents in two parts, each with its share of both labels: to fit on, and to score."""
+    dealt = learn.split_stratified(labelled(t), "doc_id", "quality", 0.7)
+    return dealt.filter("not held_out").drop("held_out"), dealt.filter("held_out").drop("held_out")
+
+
+def _judged(t, model, fit):
+    """Areas under the ROC and the precision-recall curve of rows that the model was not fitted on."""
+    known, held = _parts(t)
+    said = fit(known).transform(held)
+    row = (model, known.count(), held.count(), diagnose.area(said, "quality"), diagnose.area(said, "quality", "areaUnderPR"))
+    return t.spark.createDataFrame([row], "model string, n_fit long, n_held long, auc double, pr_auc double")
+
+
 def _area(t, model):
-    rows = _labelled(t)
-    fitted = learn.fit(rows, "quality", NUMERIC, ["lang"], model)
-    return t.spark.createDataFrame([(model, diagnose.area(fitted.transform(rows), "quality"))], "model string, auc double")
+    return _judged(t, model, lambda known: learn.fit(known, "quality", NUMERIC, ["lang"], model))
 
 
 @query()
@@ -84,27 +96,25 @@ def ml_gbt(t):
 
 @query()
 def ml_mlp(t):
-    rows = _labelled(t)
-    fitted = learn.perceptron(rows, "quality", NUMERIC, (8, 4))
-    return t.spark.createDataFrame([("perceptron", diagnose.area(fitted.transform(rows), "quality"))], "model string, auc double")
+    return _judged(t, "perceptron", lambda known: learn.perceptron(known, "quality", NUMERIC, (8, 4)))
 
 
 @query()
 def ml_importance(t):
-    fitted = learn.fit(_labelled(t), "quality", NUMERIC, [], "tree")
+    fitted = learn.fit(labelled(t), "quality", NUMERIC, [], "tree")
     return t.spark.createDataFrame(learn.importances(fitted, NUMERIC), "feature string, weight double")
 
 
 @query()
 def ml_cv(t):
-    return diagnose.cross_validate(_labelled(t), "doc_id", "quality", NUMERIC, [], "tree", 3)
+    return diagnose.cross_validate(labelled(t), "doc_id", "quality", NUMERIC, [], "tree", 3)
 
 
 @query()
 def ml_validation_curve(t):
-    return diagnose.validation_curve(_labelled(t), "doc_id", "quality", NUMERIC, [], (2, 6))
+    return diagnose.validation_curve(labelled(t), "doc_id", "quality", NUMERIC, [], (2, 6))
 
 
 @query()
 def ml_kmeans(t):
-    return learn.clusters(_labelled(t), NUMERIC, (2, 3))[0].select("doc_id", "cluster")
+    return learn.clusters(labelled(t), NUMERIC, (2, 3))[0].select("doc_id", "cluster")

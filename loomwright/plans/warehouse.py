@@ -102,14 +102,6 @@ def snk_json_report(t):
     return t.spark.read.schema("n long, total double, source string").json(path)
 
 
-@query("SELECT CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS flow, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def snk_append_log(t):
-    path = sinks.scratch(t.spark, "log")
-    for k, flow in enumerate(("even", "odd")):
-        sinks.append_log(t.events.filter(F.col("event_id") % 2 == k).select("event_id", "event_type"), path, flow)
-    return t.spark.read.schema("event_type string, _fluxo string").json(path).groupBy(F.col("_fluxo").alias("flow"), "event_type").agg(F.count("*").alias("n"))
-
-
 @query("SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1")
 def snk_ctas(t):
     made = sinks.replace_table(t.customer.select("c_custkey", "c_mktsegment"), "loomwright_customers", sinks.scratch(t.spark, "table"))
@@ -139,11 +131,6 @@ def asked_vectors(t):
     return t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-@query("SELECT vec_id AS chunk_id, CAST(len(embedding) AS INTEGER) AS d, CAST(label AS INTEGER) AS label FROM embeddings")
-def snk_vector_upsert(t):
-    return collection(t).select("chunk_id", F.size("v").alias("d"), "label")
-
-
 @query(SEARCH.format("true"))
 def ret_vector_search(t):
     return retrieval.dense(collection(t), asked_vectors(t), 5).select("query_id", "chunk_id", "score", "rank")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,12 +27,15 @@ def read_csv_latin1(spark: SparkSession, paths: str | list[str], columns: list[s
 
 
 def read_csv_quoted(spark: SparkSession, paths: str | list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of quoted CSV whose quoted values may hold line ends, and the raw text of rows of another width."""
+    """Rows of quoted CSV whose quoted values may hold line ends, and the raw text of rows of another width.
+
+    The files are parsed once, and what was parsed is written aside for both."""
     schema = ", ".join(f"`{c}` string" for c in columns) + ", _bad string"
     rows = (
         spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(schema).csv(paths)
     )
+    rows = written(rows, "parsed")
     good = rows.filter(F.col("_bad").isNull()).select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
     return good, rows.filter(F.col("_bad").isNotNull()).select("_bad")
 
@@ -141,6 +145,76 @@ def write_partitioned(df: DataFrame, path: str, by: str, rows_per_file: int = 50
 
 
 def latest_per_key(resources: DataFrame, key: str, preferred: str, position: str) -> DataFrame:
-    """One row of each key: a preferred one if there is any, then the first by position."""
-    w = Window.partitionBy(key).orderBy(F.col(preferred).desc(), F.col(position))
-    return resources.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """One row of each key: a preferred one if there is any, then the first by position (null: last)."""
+    rank = F.struct(~F.coalesce(F.col(preferred), F.lit(False)), F.col(position).isNull(), F.col(position))
+    return resources.groupBy(key).agg(F.min_by(F.struct(*resources.columns), rank).alias("_row")).select("_row.*")
+
+
+def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, header): the first line of each run of lines of a file."""
+    seen = None
+    for rows in batches:
+        out = []
+        for path, line in zip(rows.column("path").to_pylist(), rows.column("value").to_pylist()):
+            if path != seen:
+                out.append((path, line))
+                seen = path
+        yield pa.record_batch({"path": pa.array([p for p, _ in out], pa.string()), "header": pa.array([h for _, h in out], pa.string())})
+
+
+def read_file_set(spark: SparkSession, path: str, renamed: dict[str, str], code: str, sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
+    """The delimited files under ``path``, whatever their layout, as one table of text with ``code`` and ``file``.
+
+    ``renamed`` names the columns that a header may have and what each is called in the table. Files are
+    grouped by header and read a layout at a time; columns that a layout lacks are empty. A header
+    with another column, or that misses one under all of its names, raises ValueError with the
+    complements. ``code`` is a pattern whose first group is taken out of a file's path.
+    """
+    place = F.col("_metadata.file_path").alias("path")
+    lines = spark.read.option("recursiveFileLookup", True).option("encoding", encoding).option("sep", "\x01").option("quote", "").schema("value string").csv(path)
+    first = lines.filter(F.col("_metadata.file_block_start") == 0).select(place, "value")
+    layouts: dict[str, list[str]] = {}
+    for r in first.mapInArrow(headers, "path string, header string").orderBy("path").collect():  # a row a file, as the driver lists them anyway
+        layouts.setdefault(r["header"], []).append(r["path"])
+    found, wanted = None, list(dict.fromkeys(renamed.values()))
+    for header, paths in sorted(layouts.items()):
+        columns = [c.strip().lstrip("\ufeff") for c in header.split(sep)]
+        unknown, missing = sorted(set(columns) - set(renamed)), sorted(set(wanted) - {renamed.get(c) for c in columns})
+        if unknown:
+            raise ValueError(f"{paths[0]}: unknown {unknown}, missing {missing}")
+        rows = spark.read.option("sep", sep).option("encoding", encoding).option("header", True).schema(", ".join(f"`{c}` string" for c in columns)).csv(paths)
+        part = rows.select(
+            *(F.coalesce(F.col(c), F.lit("")).alias(renamed[c]) for c in columns), *(F.lit("").alias(c) for c in missing),
+            F.regexp_extract(F.col("_metadata.file_path"), code, 1).alias("code"), F.col("_metadata.file_name").alias("file"),
+        ).select(*wanted, "code", "file")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        raise ValueError(f"no files under {path}")
+    return found
+
+
+def read_squad_zip(spark: SparkSession, path: str) -> DataFrame:
+    """(title, context, id, question, is_impossible, answers) of SQuAD 2.0 JSON inside zip archives, a row a
+    question. A member is one JSON value, so one task parses it; contracts leave it one by one."""
+    from .archives import ZippedCsvReader, inflated
+
+    members = ZippedCsvReader(path, [], False).partitions()
+    answer = pa.list_(pa.struct([("text", pa.string()), ("answer_start", pa.int64())]))
+    names, types = ["title", "context", "id", "question", "is_impossible", "answers"], [pa.string()] * 4 + [pa.bool_(), answer]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m in batch.to_pylist():
+                with open(m["path"], "rb") as f:
+                    f.seek(m["offset"])
+                    data = json.loads(b"".join(inflated(f, m["size"], m["crc"])))
+                for contract in data["data"]:
+                    paragraph = contract["paragraphs"][0]
+                    rows = [
+                        (contract["title"], paragraph["context"], q["id"], q["question"], bool(q.get("is_impossible", False)), [{"text": a["text"], "answer_start": a["answer_start"]} for a in q.get("answers", [])])
+                        for q in paragraph["qas"]
+                    ]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
+
+    rows = spark.createDataFrame([(m.path, m.offset, m.size, m.crc) for m in members], "path string, offset long, size long, crc long").repartition(len(members))
+    return rows.mapInArrow(parse, "title string, context string, id string, question string, is_impossible boolean, answers array<struct<text: string, answer_start: long>>")
