@@ -236,9 +236,3 @@ def starts(pdf: pd.DataFrame) -> np.ndarray:
     """Where blocks begin in rows that are sorted by conversation and block."""
     conv, block = pdf["conv"].to_numpy(), pdf["block"].to_numpy()
     return np.flatnonzero(np.append(True, (conv[1:] != conv[:-1]) | (block[1:] != block[:-1])))
-
-
-def whole_chats(formatted: DataFrame) -> DataFrame:
-    """(conv_id, cost, rendered) of conversations that fit in a row each."""
-    parts = F.sort_array(F.collect_list(F.struct("pos", "rendered")))
-    return formatted.groupBy("conv_id").agg(F.sum("cost").alias("cost"), F.array_join(F.transform(parts, lambda x: x.getField("rendered")), "").alias("rendered"))

@@ -114,6 +114,17 @@ def ascii_words(text: str | None) -> Iterator[list[bytes]]:
         yield slab.lower().split()
 
 
+def met_evenly(rows: DataFrame, keys: DataFrame, on: str, count: str, most: int) -> DataFrame:
+    """``rows`` joined with ``keys``, whose column ``count`` says how many of the rows a key has; it is left out.
+
+    Keys of over ``most`` rows go to every task, so that none of them meets in one; they are at most
+    1 / ``most`` of all rows.
+    """
+    hot, few = F.broadcast(keys.filter(F.col(count) > most)), keys.filter(F.col(count) <= most)
+    rest = rows.join(hot.select(on), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(few, on)).drop(count)
+
+
 def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of the whole-number column ``value`` over the rows before this one
     within ``group`` in the order of ``order`` (nulls last), as a distributed prefix sum.

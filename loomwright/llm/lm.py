@@ -221,7 +221,9 @@ def commonest(words: DataFrame) -> DataFrame:
 
 
 def score_texts(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """(id, learn, n_tokens, n_known, train_tokens, base_score, score), one row for each row of ``docs``.
+    """(id, learn, n_tokens, n_known, train_tokens, base_score, score, lattice_score), one row for each row of ``docs``.
+
+    ``lattice_score`` is the marginal probability from the lattices alone, without the words' own arcs.
 
     Words and their counts are learnt from the rows for which ``learn`` holds. Counts of the
     commonest words go to every task; all other words are joined with their counts, each word of a
@@ -251,7 +253,7 @@ def score_texts(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text:
         return math.log10(c + types * 10**lp) if c else log_types + lp
 
     known = spark.sparkContext.broadcast(
-        {w.encode(): (c > 0, math.log10(c + 1), mixed(c, lp)) for w, c, lp in zip(common["word"], common["c"].tolist(), common["lp"].tolist(), strict=True)}
+        {w.encode(): (c > 0, math.log10(c + 1), mixed(c, lp), lp) for w, c, lp in zip(common["word"], common["c"].tolist(), common["lp"].tolist(), strict=True)}
     )
     denominator, ends = math.log10(n + v + 1), total["ends"]
 
@@ -264,6 +266,7 @@ def score_texts(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text:
             for i, learned, text in zip(pdf["id"].tolist(), pdf["learn"], pdf["text"], strict=True):
                 i = None if i is None or i != i else int(i)
                 base, score, tokens, seen = math.log10(ends + 1) - denominator, mixed(ends, end) - whole, 1, int(ends > 0)
+                spelt = end
                 for words in ascii_words(text):
                     rare: list[dict] = []
                     for w, tf in Counter(words).items():
@@ -271,37 +274,39 @@ def score_texts(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text:
                         if got is None:
                             rare.append({"word": w.decode("utf-8", "replace"), "tf": tf})
                             if len(rare) == IN_ROW:
-                                out.append((uid, i, learned, 0, 0, 0.0, 0.0, rare))
+                                out.append((uid, i, learned, 0, 0, 0.0, 0.0, 0.0, rare))
                                 rare = []
                         else:
                             seen += tf * got[0]
                             base += tf * got[1]
                             score += tf * got[2]
+                            spelt += tf * got[3]
                     tokens += len(words)
                     base -= len(words) * denominator
                     score -= len(words) * whole
                     if rare:
-                        out.append((uid, i, learned, 0, 0, 0.0, 0.0, rare))
-                out.append((uid, i, learned, tokens, seen, base, score, []))
+                        out.append((uid, i, learned, 0, 0, 0.0, 0.0, 0.0, rare))
+                out.append((uid, i, learned, tokens, seen, base, score, spelt, []))
                 uid += 1
-            frame = pd.DataFrame(out, columns=["uid", "id", "learn", "n_tokens", "n_known", "base", "score", "rare"])
+            frame = pd.DataFrame(out, columns=["uid", "id", "learn", "n_tokens", "n_known", "base", "score", "spelt", "rare"])
             frame["id"] = frame["id"].astype("Int64")
             yield frame
 
     scanned = checkpointed(rows.mapInPandas(
-        scan, "uid long, id long, learn boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,tf:long>>"
+        scan, "uid long, id long, learn boolean, n_tokens long, n_known long, base double, score double, spelt double, rare array<struct<word:string,tf:long>>"
     ))
     rare = scanned.filter(F.size("rare") > 0).select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.tf")
     met = rare.join(weighed, "word").groupBy("uid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
         F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("base"),
         F.sum(F.col("tf") * F.when(F.col("c") > 0, F.log10(F.col("c") + types * F.pow(F.lit(10.0), F.col("lp")))).otherwise(log_types + F.col("lp"))).alias("score"),
+        F.sum(F.col("tf") * F.col("lp")).alias("spelt"),
     )
     zero = F.lit(0).cast("long")
-    parts = scanned.filter(F.size("rare") == 0).select("uid", "id", "learn", "n_tokens", "n_known", "base", "score").unionByName(
-        met.select("uid", F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("learn"), zero.alias("n_tokens"), "n_known", "base", "score")
+    parts = scanned.filter(F.size("rare") == 0).select("uid", "id", "learn", "n_tokens", "n_known", "base", "score", "spelt").unionByName(
+        met.select("uid", F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("learn"), zero.alias("n_tokens"), "n_known", "base", "score", "spelt")
     )
     return parts.groupBy("uid").agg(
         F.max("id").alias(id_col), F.max("learn").alias("learn"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),
+        F.lit(n).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.sum("spelt").alias("lattice_score"),
     ).drop("uid")

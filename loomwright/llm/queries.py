@@ -49,7 +49,7 @@ def op6_subword_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = lm.score_texts(docs, F.coalesce(fold("doc_id", 7) != 2, F.lit(False)))
     return scored.select(
-        "doc_id", _fold_is(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        "doc_id", _fold_is(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"
     )
 
 

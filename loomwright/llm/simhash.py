@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, checkpointed, components
+from .common import ascii_words, checkpointed, components, met_evenly, partitions
 
 SEED = 42
 #: Variants of a shard in the mean, and those at which a shard is dealt again by more bits.
@@ -207,13 +207,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     included: they get the smallest id of their component, null if nothing there has one.
     """
     fps = checkpointed(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")), "text", k).drop("text"))
-    distinct = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("id")))
+    distinct = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("rows")))
     joined = components(links(distinct.select("fp"), distance))
-    members = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    members = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "id", "rows", F.coalesce("component", "fp").alias("component"))
     members = checkpointed(members)
-    least = members.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = members.join(least, "component").select("fp", "component_id")
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    most = fps.count() // (16 * partitions(docs.sparkSession)) + 1
+    least = members.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("prints"))
+    named = met_evenly(members.drop("id"), least, "component", "prints", most).select("fp", "component_id", "rows")
+    return met_evenly(fps, named, "fp", "rows", most).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def fingerprint_hex(fp: str) -> F.Column:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,16 @@ def test_op1_finds_the_nearest(spark):
     assert set(got["query_id"]) == set(want) and hits / (20 * len(want)) >= 0.95
 
 
+@pytest.mark.parametrize("rows", [16, 64])
+def test_op1_over_many_cells_of_the_given_table(spark, monkeypatch, rows):
+    monkeypatch.setattr(ann, "CELL_ROWS", rows)
+    t = table("embeddings", MORE)
+    v, ids = np.stack(t["embedding"]).astype(float), t["vec_id"].tolist()
+    want = nearest(v, ids, [i for i, x in enumerate(ids) if x % 20 == 0], 20)
+    got = QUERIES["op1_nearest_codes"](spark, MORE).toPandas().groupby("query_id")["vec_id"].agg(set)
+    assert sum(len(got[q] & {i for i, _ in near}) for q, near in want.items()) >= 0.95 * 20 * len(want)
+
+
 def test_op1_ties_repeats_and_names(spark):
     v = [[1.0, 0.0]] * 6 + [[0.0, 1.0]] * 3 + [[1.0, 1.0]]
     d = spark.createDataFrame([(i, x, "c", 1) for i, x in enumerate(v)] + [(3, v[3], "c", 1)], "vec_id long, embedding array<double>, code string, block int")
@@ -156,6 +167,10 @@ def test_op6_scores(spark):
             known[w] = (math.log10(counts[w] + v * 10**lattice) if w in counts else math.log10(v) + lattice) - math.log10(n + v)
         return known[w]
 
+    @lru_cache(None)
+    def alone(w):
+        return plain_lattice(model, w.decode()) if w else model.end
+
     texts = dict(zip(docs["doc_id"], docs["text"]))
     got = QUERIES["op6_subword_lm"](spark, DATA).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(texts)
@@ -163,10 +178,9 @@ def test_op6_scores(spark):
         words = [*(texts[r["doc_id"]] or "").encode().lower().split(), b""]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(words), sum(w in counts for w in words), n, fold(r["doc_id"], 7) == 2)
         assert math.isclose(r["base_score"], sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
-        if len(words) < 300:
-            assert math.isclose(r["score"], sum(map(logp, words)), rel_tol=1e-9)
-            alone = sum(plain_lattice(model, w.decode()) if w else model.end for w in words)
-            assert r["score"] > alone or r["n_known"] < len(words)  # known words are likelier than their spelling
+        assert math.isclose(r["score"], sum(map(logp, words)), rel_tol=1e-9)
+        assert math.isclose(r["lattice_score"], sum(map(alone, words)), rel_tol=1e-9)
+        assert r["score"] > r["lattice_score"] or r["n_known"] < len(words)  # known words are likelier than their spelling
 
 
 def test_op7_reads_back(spark):
