@@ -6,32 +6,45 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, text
 from ..operators import evaluation
-from .registry import query
+from .registry import iso_said, iso_sql, query
 
 # --- fields of delimited files, made from the tables' numbers and dates ---------------------------
 
 
-@query("""SELECT c_custkey, c_name AS name FROM customer""")
+# Each field is written by one expression that both engines read, marred in several ways; the pattern is then
+# applied to it on both sides.
+
+QUOTED = """CASE c_custkey % 4 WHEN 0 THEN ' "' || c_name || '" ' WHEN 1 THEN '"' || c_name WHEN 2 THEN c_name || ' ""x"" ' ELSE c_name END"""
+
+
+@query(f"SELECT c_custkey, trim(replace({QUOTED}, '\"', '')) AS name FROM customer")
 def prj_strip_quotes(t):
-    return t.customer.select("c_custkey", text.strip_quotes(F.concat(F.lit(' "'), F.col("c_name"), F.lit('" '))).alias("name"))
+    return t.customer.select("c_custkey", text.strip_quotes(F.expr(QUOTED)).alias("name"))
+
+
+NUMBERED = """CASE event_id % 6 WHEN 0 THEN user_id || 'x' WHEN 1 THEN ' ' || user_id || ' ' WHEN 2 THEN '-' || user_id WHEN 3 THEN '' WHEN 4 THEN '12345678901234567890' || user_id ELSE CAST(user_id AS STRING) END"""
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS n FROM events")
+@query(f"SELECT event_id, coalesce(TRY_CAST({NUMBERED} AS BIGINT), 0) AS n FROM events")
 def prj_to_int_null(t):
-    said = F.concat(F.col("user_id").cast("string"), F.when(F.col("event_id") % 3 == 0, "x").otherwise(""))
-    return t.events.select("event_id", F.coalesce(text.to_long(said), F.lit(-1)).alias("n"))
+    return t.events.select("event_id", F.coalesce(text.to_long(F.expr(NUMBERED)), F.lit(0)).alias("n"))
 
 
-@query("SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS DOUBLE) AS price FROM orders")
+COMMA = "replace(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING), '.', ',')"
+PRICED = f"CASE o_orderkey % 5 WHEN 0 THEN '-' || {COMMA} WHEN 1 THEN 'n/d' WHEN 2 THEN ',5' WHEN 3 THEN ' ' || {COMMA} ELSE {COMMA} END"
+
+
+@query(f"SELECT o_orderkey, TRY_CAST(replace({PRICED}, ',', '.') AS DOUBLE) AS price FROM orders")
 def prj_decimal_comma(t):
-    said = F.translate(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), ".", ",")
-    return t.orders.select("o_orderkey", text.decimal_comma(said).alias("price"))
+    return t.orders.select("o_orderkey", text.decimal_comma(F.expr(PRICED)).alias("price"))
+
 
+DOTTED = """CASE o_orderkey % 4 WHEN 0 THEN '' ELSE (o_orderkey % 999 + 1) || '.' || lpad(CAST(o_custkey % 1000 AS STRING), 3, '0') || CASE o_orderkey % 4 WHEN 1 THEN '.000' WHEN 2 THEN ',x' ELSE '' END || ',' || lpad(CAST(o_orderkey % 100 AS STRING), 2, '0') END"""
 
-@query("SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS DOUBLE) AS price FROM orders")
+
+@query(f"SELECT o_orderkey, TRY_CAST(replace(replace({DOTTED}, '.', ''), ',', '.') AS DOUBLE) AS price FROM orders")
 def prj_thousands_dot(t):
-    said = F.translate(F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2), ",.", ".,")
-    return t.orders.select("o_orderkey", text.thousands_dot(said).alias("price"))
+    return t.orders.select("o_orderkey", text.thousands_dot(F.expr(DOTTED)).alias("price"))
 
 
 @query("SELECT upper(trim('  ' || c_mktsegment || ' ')) AS segment, count(*) AS n FROM customer GROUP BY 1")
@@ -44,23 +57,30 @@ def prj_trim_lower(t):
     return t.customer.groupBy(F.lower(F.trim(F.concat(F.lit("  "), "c_mktsegment", F.lit(" ")))).alias("segment")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month FROM orders")
+DATED = """CASE o_orderkey % 6 WHEN 0 THEN lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || '/' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '/' || year(o_orderdate)
+    WHEN 1 THEN month(o_orderdate) || '/' || year(o_orderdate) WHEN 2 THEN day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) WHEN 3 THEN '31/02/' || year(o_orderdate)
+    WHEN 4 THEN 'em ' || year(o_orderdate) ELSE lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '/' || year(o_orderdate) END"""
+
+
+@query(f"""SELECT o_orderkey, strftime(date_trunc('month', try_strptime(CASE WHEN regexp_full_match(said, '[0-9]{{1,2}}/[0-9]{{4}}') THEN '01/' || said ELSE said END, '%d/%m/%Y')), '%Y-%m-%d') AS month
+    FROM (SELECT o_orderkey, {DATED} AS said FROM orders)""")
 def dt_month_mixed(t):
-    said = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.date_format("o_orderdate", "MM/yyyy"))
-    return t.orders.select("o_orderkey", F.date_format(text.month_mixed(said), "yyyy-MM-dd").alias("month"))
+    return t.orders.select("o_orderkey", F.date_format(text.month_mixed(F.expr(DATED)), "yyyy-MM-dd").alias("month"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 3 THEN '' ELSE strftime(ts, '%Y-%m-%d') END AS iso, CASE event_id % 4 WHEN 3 THEN 'desconhecido' ELSE strftime(ts, '%Y') END AS year FROM events""")
+@query(iso_sql("event_id", "ts", "events"))
 def dt_iso_formats(t):
-    kind, ts = F.col("event_id") % 4, F.col("ts")
-    said = F.when(kind == 0, F.date_format(ts, "yyyy-MM-dd")).when(kind == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).when(kind == 2, F.date_format(ts, "MM/dd/yyyy")).otherwise("n/d")
+    """Dates of a stream's time stamps, as the dates of orders in ``dt_iso_multi``."""
+    said = F.expr(iso_said("event_id", "ts"))
     return t.events.select("event_id", text.iso_date(said).alias("iso"), text.year_or_unknown(said).alias("year"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN upper(substr(n_name, 1, 2)) ELSE 'NA' END AS state FROM nation")
+PLACED_AT = """CASE n_nationkey % 4 WHEN 0 THEN 'BR-116/' || upper(substr(n_name, 1, 2)) || ' km 3' WHEN 1 THEN 'BR-116/' || upper(substr(n_name, 1, 3)) WHEN 2 THEN 'a/b ' || n_name || '/DF/SP' ELSE n_name END"""
+
+
+@query(f"SELECT n_nationkey, coalesce(nullif(regexp_extract({PLACED_AT}, '/([A-Z]{{2}})\\b', 1), ''), 'NA') AS state FROM nation")
 def str_uf(t):
-    said = F.concat(F.lit("BR-116/"), F.when(F.col("n_nationkey") % 2 == 0, F.upper(F.substring("n_name", 1, 2))).otherwise("x"))
-    return t.nation.select("n_nationkey", text.state_code(said).alias("state"))
+    return t.nation.select("n_nationkey", text.state_code(F.expr(PLACED_AT)).alias("state"))
 
 
 # --- text of acts and portals ----------------------------------------------------------------------
@@ -242,36 +262,39 @@ def arr_bio_spans(t):
     return found.select("item_id", F.col("e.text").alias("entity"), F.col("e.kind").alias("kind"), F.size(F.split("e.text", " ")).cast("long").alias("n"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS x, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE (doc_id % 7) / 4.0::DOUBLE END AS score FROM documents""")
+ANSWERED = """CASE doc_id % 6 WHEN 0 THEN 'no object, {broken' WHEN 1 THEN 'Answer: {"nota": ' || CAST(doc_id % 7 AS STRING) || '.25, "x": "' || source || '"} end {"nota": 9}'
+    WHEN 2 THEN '{not json} {"nota": 1, "x": "late"}' WHEN 3 THEN 'a {"nota": -2.5, "x": null} b' WHEN 4 THEN '{"x": {"nota": 3, "x": "inner"}}' ELSE '{"x": "' || lang || '", "nota": 4e0}' END"""
+FOUND = f"(SELECT doc_id, CASE WHEN json_valid(o) THEN o END AS o FROM (SELECT doc_id, nullif(regexp_extract({ANSWERED}, '\\{{[^{{}}]*\\}}'), '') AS o FROM documents))"
+
+
+@query(f"SELECT doc_id, json_extract_string(o, '$.x') AS x, CAST(json_extract_string(o, '$.nota') AS DOUBLE) AS score FROM {FOUND}")
 def json_first_object(t):
-    i = F.col("doc_id")
-    said = F.when(i % 5 == 0, F.lit("no object, {broken")).otherwise(F.concat(F.lit('Answer: {"nota": '), ((i % 7) / 4.0).cast("string"), F.lit(', "x": "'), F.col("source"), F.lit('"} end {"nota": 9}')))
-    got = extract.first_object(said, "nota double, x string")
+    got = extract.first_object(F.expr(ANSWERED), "nota double, x string")
     return t.documents.select("doc_id", got.getField("x").alias("x"), got.getField("nota").alias("score"))
 
 
-@query("""SELECT doc_id, least(greatest((doc_id % 7 - 2) / 2.0::DOUBLE, 0), 1) AS unit, CAST(least(greatest(round_even((doc_id % 7 - 2) / 2.0, 0), 0), 2) AS INTEGER) AS grade FROM documents""")
+@query(f"""SELECT doc_id, coalesce(least(greatest(n, 0), 1), 0) AS unit, CAST(coalesce(least(greatest(round_even(n, 0), 0), 2), 0) AS INTEGER) AS grade
+    FROM (SELECT doc_id, CAST(json_extract_string(o, '$.nota') AS DOUBLE) AS n FROM {FOUND})""")
 def json_score_clamp(t):
-    said = F.to_json(F.struct(((F.col("doc_id") % 7 - 2) / 2.0).alias("nota")))
-    got = extract.first_object(said, "nota double").getField("nota")
+    got = extract.first_object(F.expr(ANSWERED), "nota double").getField("nota")
     return t.documents.select("doc_id", extract.clamp(got).alias("unit"), extract.clamp_whole(got).alias("grade"))
 
 
 KNOWN = "', '".join(extract.KINDS)
 
 
-def _said_entities(t):
-    """Answers that name the source as a person, and again, and a thing of no known kind."""
-    one = lambda text, kind: F.struct(text.alias("texto"), F.lit(kind).alias("tipo"))
-    source = F.col("source")
-    rows = F.array(one(F.upper(source), "PESSOA"), one(F.concat(F.lit(" "), source), "PESSOA"), one(source, "COISA"), one(F.col("lang"), "LOCAL"))
-    return t.documents.select("doc_id", "source", "lang", F.concat(F.lit("So: "), F.when(F.col("doc_id") % 4 == 0, "nothing").otherwise(F.to_json(rows)), F.lit(" done")).alias("said"))
+LISTED = """CASE doc_id % 5 WHEN 0 THEN 'nothing' WHEN 1 THEN 'So: [{"texto": "' || upper(source) || '", "tipo": "PESSOA"}, {"texto": "  ' || source || ' ", "tipo": "PESSOA"}, {"texto": "' || lang || '", "tipo": "COISA"}] done'
+    WHEN 2 THEN '[{"texto": null, "tipo": "LOCAL"}, {"tipo": "LOCAL"}, {"texto": "' || lang || '", "tipo": "LOCAL"}]' WHEN 3 THEN '[broken, {"texto": "x"' ELSE '[' || chr(10) || '{"tipo": "LOCAL", "texto": "A' || chr(9) || 'B ' || lang || '"}' || chr(10) || ']' END"""
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE lower(source) || ':PESSOA;' || lower(lang) || ':LOCAL' END AS found FROM documents""")
+@query(f"""WITH m AS (SELECT doc_id, nullif(regexp_extract({LISTED}, '(?s)\\[.*\\]'), '') AS o FROM documents), e AS (SELECT doc_id, unnest(from_json(CASE WHEN json_valid(replace(o, chr(9), ' ')) THEN replace(o, chr(9), ' ') ELSE '[]' END, '[{{"texto":"VARCHAR","tipo":"VARCHAR"}}]')) AS e, o FROM m),
+    k AS (SELECT doc_id, trim(regexp_replace(lower(e.texto), '\\s+', ' ', 'g')) || ':' || e.tipo AS said, row_number() OVER (PARTITION BY doc_id) AS r FROM e WHERE e.texto IS NOT NULL AND e.tipo IN ('{KNOWN}')),
+    f AS (SELECT doc_id, said, min(r) AS r FROM k GROUP BY 1, 2), j AS (SELECT doc_id, string_agg(said, ';' ORDER BY r) AS found FROM f GROUP BY 1)
+    SELECT doc_id, coalesce(found, '') AS found FROM documents LEFT JOIN j USING (doc_id)""")
 def json_entities(t):
-    joined = F.array_join(F.transform(extract.entities(F.col("said")), lambda e: F.concat(e.getField("texto"), F.lit(":"), e.getField("tipo"))), ";")
-    return _said_entities(t).select("doc_id", joined.alias("found"))
+    said = F.replace(F.expr(LISTED), F.lit("\t"), F.lit(" "))
+    joined = F.array_join(F.transform(extract.entities(said), lambda e: F.concat(e.getField("texto"), F.lit(":"), e.getField("tipo"))), ";")
+    return t.documents.select("doc_id", joined.alias("found"))
 
 
 def word_sets(t):
@@ -293,9 +316,11 @@ def set_difference_ner(t):
     return word_sets(t).select("item_id", n(F.array_except("a", "b")).alias("only_said"), n(F.array_except("b", "a")).alias("only_gold"), n(F.array_intersect("a", "b")).alias("both"))
 
 
-@query(f"SELECT item_id, list_sort(a) = list_sort(list_reverse(a)) AS same, list_sort(a) = list_sort(b) AS like_next FROM {PAIRED}")
+@query(f"SELECT item_id, list_sort(a) = list_sort(list_reverse(a)[1 + item_id % 2:]) AS same, list_sort(a) = list_sort(b) AS like_next FROM {PAIRED}")
 def set_equal_sorted(t):
-    return word_sets(t).select("item_id", (F.sort_array("a") == F.sort_array(F.reverse("a"))).alias("same"), (F.sort_array("a") == F.sort_array("b")).alias("like_next"))
+    """A set of words against itself turned round, of odd items less a word, and against the next."""
+    turned = F.slice(F.reverse("a"), 1 + (F.col("item_id") % 2).cast("int"), F.size("a"))
+    return word_sets(t).select("item_id", (F.sort_array("a") == F.sort_array(turned)).alias("same"), (F.sort_array("a") == F.sort_array("b")).alias("like_next"))
 
 
 @query("SELECT conv_id, min(turn) AS turn, text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, text")
@@ -361,10 +386,20 @@ def ag_data_intent(t):
     return t.benchmark.select("item_id", extract.data_intent(q).alias("d")).select("item_id", "d.*")
 
 
-@query("""WITH l AS (SELECT page_id, page_id % 40 AS num FROM pages), x AS (SELECT page_id, num, CASE WHEN page_id % 3 = 0 THEN 'POR' ELSE 'RES' END AS kind FROM l)
-    SELECT CAST(num AS VARCHAR) AS num, '2020' AS year, min(page_id) AS page_id FROM x WHERE kind = 'RES' GROUP BY 1""")
+CALLS = """html || '<a onclick="LinkTexto(%' || CASE page_id % 3 WHEN 0 THEN 'POR' ELSE 'RES' END || '%,%' || (page_id % 40) || '%,%001%,%2020%,%ANTT%)">x</a> LinkTexto(%RES%,%x%,%1%,%2020%,%A%) LinkTexto(%RES%,%' || (page_id % 7) || '%,%2%,%' || (2000 + page_id % 3) || '%,%%)'"""
+CALL = r"LinkTexto\(%([^%]+)%,%(\d+)%,%(\d+)%,%(\d+)%,%([^%]*)%"
+
+
+def calls_sql() -> str:
+    said, call = f"replace({CALLS}, '%', chr(39))".replace("html ||", "replace(html, '%', '') ||"), CALL.replace("%", "''")
+    part = lambda i: f"regexp_extract(c, '{call}', {i})"
+    return f"""WITH f AS (SELECT page_id, unnest(regexp_extract_all({said}, '{call}')) AS c FROM pages), x AS (SELECT page_id, {part(1)} AS kind, {part(2)} AS num, {part(4)} AS year FROM f)
+    SELECT num, year, min(page_id) AS page_id, count(*) AS n FROM x WHERE kind = 'RES' GROUP BY 1, 2"""
+
+
+@query(calls_sql())
 def src_html_links(t):
-    i = F.col("page_id")
-    call = F.concat(F.lit("<a onclick=\"LinkTexto('"), F.when(i % 3 == 0, "POR").otherwise("RES"), F.lit("','"), (i % 40).cast("string"), F.lit("','001','2020','ANTT')\">x</a>"))
-    found = t.pages.select("page_id", F.explode(extract.link_texts(F.concat("html", call))).alias("a")).select("page_id", "a.*")
-    return found.groupBy("num", "year").agg(F.min("page_id").alias("page_id"))
+    """Calls in pages' markup: of either kind, of the kind that is no act, and with a number that is none."""
+    said = F.expr(f"replace({CALLS}, '%', chr(39))".replace("html ||", "replace(html, '%', '') ||"))
+    found = t.pages.select("page_id", F.explode(extract.link_texts(said)).alias("a")).select("page_id", "a.*")
+    return found.groupBy("num", "year").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))

@@ -319,10 +319,22 @@ def str_html_clean(t):
     return t.pages.select("page_id", F.md5(text.clean_html(F.col("html"))).alias("digest"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso, CASE o_orderkey % 4 WHEN 3 THEN 'desconhecido' ELSE strftime(o_orderdate, '%Y') END AS year FROM orders""")
+def iso_said(key: str, date: str) -> str:
+    """A date as several sources write it, in words that both engines read."""
+    y, m, d = f"CAST(year({date}) AS STRING)", f"lpad(CAST(month({date}) AS STRING), 2, '0')", f"lpad(CAST(day({date}) AS STRING), 2, '0')"
+    return f"""CASE {key} % 7 WHEN 0 THEN {y} || '-' || {m} || '-' || {d} WHEN 1 THEN {y} || '-' || {m} || '-' || {d} || 'T12:30:00.000Z' WHEN 2 THEN {m} || '/' || {d} || '/' || {y}
+        WHEN 3 THEN 'n/d' WHEN 4 THEN {y} || '-' || {m} WHEN 5 THEN {m} || '/' || {y} ELSE {d} || '.' || {m} || '.' || {y} END"""
+
+
+def iso_sql(key: str, date: str, table: str) -> str:
+    return f"""WITH s AS (SELECT {key}, {iso_said(key, date)} AS said FROM {table}), i AS (SELECT {key}, CASE WHEN regexp_matches(said, '^[0-9]{{4}}-.{{5}}') THEN substr(said, 1, 10)
+        WHEN regexp_matches(said, '^../.{{3}}[0-9]{{4}}') THEN substr(said, 7, 4) || '-' || substr(said, 1, 2) || '-' || substr(said, 4, 2) ELSE '' END AS iso FROM s)
+        SELECT {key}, iso, CASE WHEN iso = '' THEN 'desconhecido' ELSE substr(iso, 1, 4) END AS year FROM i"""
+
+
+@query(iso_sql("o_orderkey", "o_orderdate", "orders"))
 def dt_iso_multi(t):
-    kind, day = F.col("o_orderkey") % 4, F.col("o_orderdate")
-    said = F.when(kind == 0, F.date_format(day, "yyyy-MM-dd")).when(kind == 1, F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).when(kind == 2, F.date_format(day, "MM/dd/yyyy")).otherwise("n/d")
+    said = F.expr(iso_said("o_orderkey", "o_orderdate"))
     return t.orders.select("o_orderkey", text.iso_date(said).alias("iso"), text.year_or_unknown(said).alias("year"))
 
 

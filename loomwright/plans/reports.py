@@ -252,11 +252,11 @@ def st_answer_events(t):
     return evaluation.answer_events(rows, F.col("conv_id") % 9 == 0, "text", 80).select("conv_id", "turn", F.col("seq").cast("long").alias("seq"), "kind", "part")
 
 
-@query("""WITH p AS (SELECT l_orderkey, sum(l_discount) AS a, sum(l_discount * 1.02) AS b, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT round(exp(sum(a) / sum(n)), 3) AS full_ppl, round(exp(sum(b) / sum(n)), 3) AS small_ppl FROM p)
+@query("""WITH p AS (SELECT l_orderkey, sum(l_discount) AS a, sum(l_tax) AS b, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT round(exp(sum(a) / sum(n)), 3) AS full_ppl, round(exp(sum(b) / sum(n)), 3) AS small_ppl FROM p)
     SELECT full_ppl, small_ppl, round(100 * (small_ppl - full_ppl) / full_ppl, 2) AS delta_pct FROM s""")
 def ev_quant_delta(t):
-    ppl = lambda f, name: evaluation.perplexity(t.lineitem.select("l_orderkey", (-F.col("l_discount") * f).alias("p")), "l_orderkey", "p").select(F.col("ppl_micro").alias(name))
-    both = ppl(1.0, "full_ppl").crossJoin(ppl(1.02, "small_ppl"))
+    ppl = lambda loss, name: evaluation.perplexity(t.lineitem.select("l_orderkey", (-F.col(loss)).alias("p")), "l_orderkey", "p").select(F.col("ppl_micro").alias(name))
+    both = ppl("l_discount", "full_ppl").crossJoin(ppl("l_tax", "small_ppl"))
     return both.withColumn("delta_pct", F.round(100 * (F.col("small_ppl") - F.col("full_ppl")) / F.col("full_ppl"), 2))
 
 
