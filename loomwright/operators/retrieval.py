@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,11 +25,54 @@ def top(scored: DataFrame, k: int, *by: str, query: str = "query_id", item: str
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """Inner products of (chunk_id, v) with a stated set of questions (query_id, q)."""
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    scored = vectors.crossJoin(questions).select("query_id", "chunk_id", F.round(dot, 6).alias("score"))
-    return top(scored, k)
+#: Questions that meet all vectors in one pass, and rows of vectors multiplied at a time.
+ASKED, ROWS = 2048, 1024
+
+
+def dense(vectors: DataFrame, questions: DataFrame, k: int, asked: int = ASKED) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the ``k`` largest inner products of (chunk_id, v) with each of a stated set of
+    questions (query_id, q), rounded to six places, ties to the smaller chunk_id.
+
+    Questions go to every task in blocks of about ``asked``, dealt by hash; a task multiplies its vectors with
+    them as matrices, and ``k`` rows a question leave each piece of it. Null vectors, and those of
+    another length than the block's first question, are left out; so are questions like these.
+    """
+    spark, found = vectors.sparkSession, None
+    n = questions.count() // asked + 1
+    kinds = f"query_id {questions.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
+    for i in range(n):
+        block = questions.filter((F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) & F.col("q").isNotNull()).select("query_id", "q").toArrow()
+        if not len(block):
+            continue
+        wide = len(block["q"][0])
+        same = pc.equal(pc.list_value_length(block["q"]), wide)
+        block = block.filter(same)
+        ids = block["query_id"].combine_chunks()
+        shared = spark.sparkContext.broadcast((ids, block["q"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, wide)))
+        met = vectors.filter(F.size("v") == wide).select("chunk_id", "v").mapInArrow(multiplied(shared, k), kinds)
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return vectors.limit(0).join(questions.limit(0)).select("query_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).filter("false")
+    return top(found.withColumn("score", F.round("score", 6)), k)
+
+
+def multiplied(shared: Broadcast, k: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                keys = pc.array_sort_indices(rows.column("chunk_id"))  # so that places are in the order of ids
+                rows = rows.take(keys)
+                v = rows.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
+                score = q @ v.T
+                best = np.argsort(-np.round(score, 6), axis=1, kind="stable")[:, :k]
+                asked = np.repeat(np.arange(len(q)), best.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(asked)), rows.column("chunk_id").take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, axis=1).ravel())], ["query_id", "chunk_id", "score"]
+                )
+
+    return of
 
 
 def fuse(rankings: list[DataFrame], k: int, k_rrf: int = K_RRF) -> DataFrame:

@@ -51,7 +51,7 @@ def orders_monthly(t: Tables) -> DataFrame:
 
 
 def nation_orders(t: Tables) -> DataFrame:
-    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
 
 
 def nation_monthly(t: Tables) -> DataFrame:
@@ -164,14 +164,14 @@ def dt_calendar_dim(t):
 
 @query("SELECT row_number() OVER (ORDER BY c_mktsegment, n_name) AS id, c_mktsegment, n_name FROM (SELECT DISTINCT c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)")
 def win_row_number(t):
-    rows = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return star.keyed(rows, ["c_mktsegment", "n_name"], "id").withColumn("id", F.col("id").cast("long"))
 
 
 @query("SELECT n_name AS nation, round(sum(o_totalprice), 2) AS total, rank() OVER (ORDER BY round(sum(o_totalprice), 2) DESC) AS place FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY place, nation LIMIT 10")
 def win_rank_desc(t):
-    per = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("v")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum("v").alias("v"))
-    grouped = per.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("nation"), F.round("v", 2).alias("total"))
+    per = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum("o_totalprice").alias("v"))
+    grouped = per.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("nation"), F.round("v", 2).alias("total"))
     return grouped.withColumn("place", F.rank().over(Window.orderBy(F.desc("total"))).cast("long")).orderBy("place", "nation").limit(10)
 
 

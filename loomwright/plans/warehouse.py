@@ -164,7 +164,7 @@ PLACED = f"(SELECT place_id, d.c_mktsegment, d.n_name, date_trunc('month', o_ord
 
 def places(t):
     """The dimension of places: (place_id, c_mktsegment, n_name)."""
-    return star.keyed(t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")), ["c_mktsegment", "n_name"], "place_id")
+    return star.keyed(t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")), ["c_mktsegment", "n_name"], "place_id")
 
 
 def facts(t):
@@ -180,13 +180,13 @@ def jn_two_key(t):
 @query("SELECT CAST(quarter(o_orderdate) AS INTEGER) AS quarter, count(*) AS n FROM orders GROUP BY 1")
 def jn_time_dim(t):
     months = star.calendar(t.orders.select(F.trunc("o_orderdate", "month").alias("month")))
-    return t.orders.select(F.trunc("o_orderdate", "month").alias("month")).join(F.broadcast(months), "month").groupBy("quarter").agg(F.count("*").alias("n"))
+    return t.orders.select(F.trunc("o_orderdate", "month").alias("month")).join(months, "month").groupBy("quarter").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, round(sum(o_totalprice) / 1000000, 3) AS millions FROM orders GROUP BY 1")
 def agg_volume_year(t):
     months = star.calendar(t.orders.select(F.trunc("o_orderdate", "month").alias("month")))
-    totals = orders_monthly(t).join(F.broadcast(months), "month")
+    totals = orders_monthly(t).join(months, "month")
     return totals.groupBy("year").agg(F.round(F.sum("total") / 1000000, 3).alias("millions"))
 
 
