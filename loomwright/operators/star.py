@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import MONTHS
+from ..sources.sinks import written
 
 
 def calendar(dates: DataFrame, date: str = "month") -> DataFrame:
@@ -98,6 +99,19 @@ def last_periods(rows: DataFrame, date: Column, n: int) -> DataFrame:
     return dated.join(F.broadcast(known), "_at").withColumn("period", F.when(F.col("_r") <= n, "recent").otherwise("before")).drop("_r", "_at")
 
 
+def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
+    """``df`` with each row's place from 1 in ``out``, in the order of the unique column ``order`` (nulls last).
+
+    Rows are dealt by range and written aside; a place is that in its range and the counts of those before."""
+    spark = df.sparkSession
+    key = F.col(order).asc_nulls_last()
+    dealt = written(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).withColumn("_range", F.spark_partition_id()), "dealt")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row a range
+    placed = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(key)))
+    return placed.join(F.broadcast(base), "_range").withColumn(out, F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
+
+
 def drift(series: DataFrame, by: str, n: int = 12) -> DataFrame:
     """Stability index of the last ``n`` months' totals against the n before, over the series that both hold."""
     from .metrics import psi

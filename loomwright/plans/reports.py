@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import extract, security, text
-from ..operators import evaluation, metrics, retrieval
+from ..operators import evaluation, metrics, retrieval, star
 from ..sources import sinks
 from .evaluation import _sql_routes
 from .extraction import ACTS, CITATIONS, CITING, acts, citing
@@ -260,15 +260,15 @@ def ev_quant_delta(t):
     return both.withColumn("delta_pct", F.round(100 * (F.col("small_ppl") - F.col("full_ppl")) / F.col("full_ppl"), 2))
 
 
-@query("""SELECT b.item_id, md5('system:Answer.;user:' || b.text || ';assistant:' || a.text) AS digest FROM benchmark b JOIN (SELECT row_number() OVER (ORDER BY item_id) AS r, text FROM benchmark) a
-    ON a.r = (SELECT count(*) FROM benchmark c WHERE c.item_id <= b.item_id)""")
+@query("""WITH q AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS place FROM benchmark), a AS (SELECT text, row_number() OVER (ORDER BY doc_id) AS place FROM documents WHERE text <> '')
+    SELECT q.item_id, q.place, md5('system:Answer.;user:' || q.text || ';assistant:' || a.text) AS digest FROM q JOIN a USING (place)""")
 def ft_conversations(t):
-    """Questions as chats, their answers zipped back by place."""
+    """Questions and answers from two tables, zipped by place, as chats."""
+    asked = star.numbered(t.benchmark.select("item_id", "text"), "item_id", "place")
+    said = star.numbered(t.documents.filter("text <> ''").select("doc_id", F.col("text").alias("answer")), "doc_id", "place")
     chat = F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", F.lit("Answer.")), ("user", F.col("text")), ("assistant", F.col("answer")))])
-    golden = t.benchmark.select("item_id", "text")
-    back = t.benchmark.select("item_id", F.col("text").alias("answer"))
     flat = F.array_join(F.transform("chat", lambda m: F.concat(m.getField("role"), F.lit(":"), m.getField("content"))), ";")
-    return golden.join(back, "item_id").select("item_id", chat.alias("chat")).select("item_id", F.md5(flat).alias("digest"))
+    return asked.join(said, "place").select("item_id", "place", chat.alias("chat")).select("item_id", "place", F.md5(flat).alias("digest"))
 
 
 @query(f"""{BM25_SQL}, top1 AS (SELECT query_id, chunk_id FROM bm WHERE rank = 1), other AS (SELECT query_id, doc_id AS chunk_id FROM (SELECT DISTINCT query_id FROM bm), documents WHERE (query_id, doc_id) NOT IN (SELECT (query_id, chunk_id) FROM bm)
