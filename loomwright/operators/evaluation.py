@@ -189,11 +189,18 @@ def answer_events(answers: DataFrame, blocked: Column, text: str, size: int) ->
 def annotation_kit(ranking: DataFrame, chunks: DataFrame, seed: int = 42) -> DataFrame:
     """(query_id, chunk_id, distractor): each question's best chunk, and one by a hash that it did not find.
 
-    Of the chunks only the least hash of each question leaves a task; questions are a stated set."""
-    asked = ranking.select("query_id").distinct()
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string"), F.col("chunk_id").cast("string")))
-    pairs = chunks.crossJoin(asked).join(ranking.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    other = pairs.groupBy("query_id").agg(F.min_by("chunk_id", F.struct(digest, "chunk_id")).alias("chunk_id"))
+    Chunks are numbered by chunk_id, their key. A question draws a place by its hash, and takes the first from there on
+    (going round) whose chunk it did not find: one of as many places as it found, and one more. A
+    question that found all chunks has no distractor."""
+    from .star import numbered
+
+    placed = numbered(chunks.select("chunk_id"), "chunk_id", "_place")
+    total = placed.agg(F.count("*").alias("_n"))
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("query_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    asked = ranking.groupBy("query_id").agg(F.count("*").alias("_found")).crossJoin(F.broadcast(total)).filter("_found < _n")
+    tried = asked.select("query_id", "_n", drawn.alias("_drawn"), F.explode(F.sequence(F.lit(0).cast("long"), "_found")).alias("_step")).withColumn("_place", F.pmod(F.col("_drawn") + F.col("_step"), "_n") + 1)
+    met = tried.join(placed, "_place").join(ranking.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    other = met.groupBy("query_id").agg(F.min_by("chunk_id", "_step").alias("chunk_id"))
     best = ranking.filter("rank = 1").select("query_id", "chunk_id", F.lit(False).alias("distractor"))
     return best.unionByName(other.select("query_id", "chunk_id", F.lit(True).alias("distractor")))
 

@@ -271,8 +271,9 @@ def ft_conversations(t):
     return asked.join(said, "place").select("item_id", "place", chat.alias("chat")).select("item_id", "place", F.md5(flat).alias("digest"))
 
 
-@query(f"""{BM25_SQL}, top1 AS (SELECT query_id, chunk_id FROM bm WHERE rank = 1), other AS (SELECT query_id, doc_id AS chunk_id FROM (SELECT DISTINCT query_id FROM bm), documents WHERE (query_id, doc_id) NOT IN (SELECT (query_id, chunk_id) FROM bm)
-    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY md5('42|' || query_id || '|' || doc_id), doc_id) = 1)
+@query(f"""{BM25_SQL}, top1 AS (SELECT query_id, chunk_id FROM bm WHERE rank = 1), places AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents),
+    tried AS (SELECT query_id, p.chunk_id, (p.place - CAST('0x' || substr(md5('42|' || query_id), 1, 8) AS BIGINT) % n + n) % n AS step FROM (SELECT DISTINCT query_id FROM bm), places p),
+    other AS (SELECT query_id, chunk_id FROM tried WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM bm) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY step) = 1)
     SELECT query_id, chunk_id, false AS distractor FROM top1 UNION ALL SELECT query_id, chunk_id, true FROM other""")
 def kit_distractors(t):
     return evaluation.annotation_kit(_bm25(t), t.documents.select(F.col("doc_id").alias("chunk_id")))

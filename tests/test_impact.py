@@ -95,3 +95,14 @@ def test_few_documents_are_scored():
     assert scored < n / 50
     best = sorted(zip(-scores, found.to_pylist()))[:10]
     assert np.allclose([-s for s, _ in best], np.sort(brute)[::-1][:10])
+
+
+def test_distractors_are_chunks_that_were_not_found(spark):
+    from loomwright.operators.evaluation import annotation_kit
+
+    chunks = spark.createDataFrame([(i,) for i in range(0, 24, 2)], "chunk_id long")
+    ranking = [(q, 2 * i, i + 1) for q, n in ((1, 1), (2, 11), (3, 12), (4, 6)) for i in range(n)]
+    got = annotation_kit(spark.createDataFrame(ranking, "query_id long, chunk_id long, rank int"), chunks).collect()
+    assert sorted((r["query_id"], r["chunk_id"]) for r in got if not r["distractor"]) == [(q, 0) for q in (1, 2, 3, 4)]
+    drawn = {r["query_id"]: r["chunk_id"] for r in got if r["distractor"]}
+    assert set(drawn) == {1, 2, 4} and drawn[2] == 22 and not {(q, c) for q, c, _ in ranking} & set(drawn.items())
