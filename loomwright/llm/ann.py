@@ -10,8 +10,9 @@ at most
 
 except with a probability that falls with exp(-epsilon^2 / 2). The vectors that seem nearest are
 compared exactly, then all whose upper bound reaches the k-th largest of these products. A query
-first looks into the cells with the nearest centroids; then into all others in which a vector may
-lie that reaches its k-th product.
+first looks into the cells with the nearest centroids; then, in rounds of ever more cells, into those
+in which the farthest-reaching vectors may lie, until no cell is left with one that may reach its k-th
+product so far.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ SEED = 42
 EPSILON = 3.0
 #: Rows of a cell in the mean, and the most cells. The centroids are fitted on about SAMPLE rows; all rows are indexed.
 CELL_ROWS, CELLS, SAMPLE = 8192, 4096, 32_768
-#: Cells that each query looks into first.
-FIRST = 2
+#: Cells that each query looks into first, and how many times as many it has looked into after each further round.
+FIRST, GROWTH = 2, 4
 #: A vector's product with a query is at most that of its centroid and SPREAD / sqrt(d) times both norms more
 #: (and never over the norms themselves): standard deviations of the angle between unlike vectors.
 SPREAD = 5.0
@@ -184,7 +185,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "
     take no part. Of rows that repeat an id each takes part, but never as a neighbour of its id; the
     least of their vectors asks. Other columns are not read. Cells with many rows or many queries are
     dealt into parts by a hash of the id, each part of rows met by each part of queries once; only k
-    rows a query leave a part.
+    rows a query leave a part. Between rounds only k rows a query and the numbers of its next cells are kept.
     """
     sizes = vectors.filter(F.col(vec_col).isNotNull()).groupBy(F.size(vec_col).alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -206,19 +207,23 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "
     dealt = lambda c, count: F.pmod(F.xxhash64(c), count).cast("int")
     part_of = F.element_at(parts, F.col("cell") + 1)
 
-    def wanted(first: bool):
+    def wanted(start: int, end: int):
+        """The cells in places ``start`` to ``end`` of each query's order that may hold one of its nearest; no row where there is none."""
+
         def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             c, n, reach = shared.value
+            step = max(1, AT_ONCE // len(c))
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                q = np.stack(pdf["query"].to_numpy()).astype(np.float64)
-                near = np.where(n > 0, q @ c.T, -np.inf)
-                lead = np.zeros(near.shape, bool)
-                np.put_along_axis(lead, np.argsort(-near, axis=1, kind="stable")[:, :FIRST], True, axis=1)
-                pick = lead if first else ~lead & (near + np.linalg.norm(q, axis=1)[:, None] * reach >= pdf["least"].to_numpy()[:, None])
-                qi, cell = np.nonzero(pick & (n > 0))
-                yield pdf.iloc[qi].assign(cell=cell.astype(np.int32))
+                for at in range(0, len(pdf), step):
+                    some = pdf.iloc[at : at + step]
+                    q = np.stack(some["query"].to_numpy()).astype(np.float64)
+                    near = np.where(n > 0, q @ c.T, -np.inf)
+                    bound = near + np.linalg.norm(q, axis=1)[:, None] * reach
+                    np.put_along_axis(bound, np.argsort(-near, axis=1, kind="stable")[:, :FIRST], np.inf, axis=1)
+                    turn = np.argsort(-bound, axis=1, kind="stable")[:, start:end]
+                    hit = (np.take_along_axis(bound, turn, axis=1) >= some["least"].to_numpy()[:, None]) & (n[turn] > 0)
+                    picked = [t[h].astype(np.int32) for t, h in zip(turn, hit, strict=True)]
+                    yield pd.DataFrame({"query_id": some["query_id"], "least": some["least"], "cells": picked})[hit.any(axis=1)]
 
         return of
 
@@ -234,24 +239,25 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def search(queries: DataFrame, first: bool) -> DataFrame:
-        """The k best for (query_id, query, least) in the cells looked into first, or in all others that may matter."""
-        kind = dict(queries.dtypes)["query"]
-        probes = checkpointed(queries.mapInPandas(wanted(first), f"query_id long, query {kind}, least double, cell int"))
-        groups = {r["cell"]: -(-r["m"] // CELL_QUERIES) for r in probes.groupBy("cell").agg(F.count("*").alias("m")).collect()}  # CELLS rows at most
+    each = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    best, start, end = None, 0, FIRST
+    while start < len(cells):
+        bounds = asked.select("query_id", "query", F.lit(float("-inf")).alias("least"))
+        if best is not None:
+            reached = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+            bounds = asked.join(reached, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        probes = checkpointed(bounds.mapInPandas(wanted(start, end), "query_id long, least double, cells array<int>"))
+        groups = {r["cell"]: -(-r["m"] // CELL_QUERIES) for r in probes.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("m")).collect()}  # CELLS rows at most
+        if not groups:  # bounds fall along each query's order: no later cell is wanted either
+            break
         many = F.element_at(F.lit([groups.get(i, 0) for i in range(len(cells))]), F.col("cell") + 1)
-        each = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-        by = ["cell", "part", "group"]
         candidates = coded.drop("asked").filter(many > 0).withColumn("part", dealt("id", part_of)).withColumn("group", each(many))
-        asking = probes.withColumn("group", dealt("query_id", many)).withColumn("part", each(part_of))
+        asking = probes.join(asked, "query_id").withColumn("cell", F.explode("cells")).drop("cells")
+        asking = asking.withColumn("group", dealt("query_id", many)).withColumn("part", each(part_of))
+        by = ["cell", "part", "group"]
         met = candidates.groupBy(*by).cogroup(asking.groupBy(*by)).applyInPandas(cell, "query_id long, vec_id long, score double")
-        return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-    lead = checkpointed(search(asked.withColumn("least", F.lit(float("-inf"))), True))
-    if len(cells) <= FIRST:
-        return lead.select("query_id", "rank", "vec_id", "score")
-    bounds = lead.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    again = asked.join(bounds, "query_id", "left").select("query_id", "query", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-    both = lead.drop("rank").unionByName(search(again, False).drop("rank"))
-    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if best is not None:
+            met = met.unionByName(best.drop("rank"))
+        best = checkpointed(met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+        start, end = end, GROWTH * end
+    return spark.createDataFrame([], schema) if best is None else best.select("query_id", "rank", "vec_id", "score")
