@@ -7,8 +7,6 @@ left cannot lift a document over the block's k-th best, only documents that may
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +25,36 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 BLOCK, ASKED = 4096, 1 << 18
 #: Scores are rounded to six places before they are ranked, so bounds give way by more than that.
 SLACK = 2e-6
-WORD = re.compile("[a-z0-9]+")
+#: Bytes of words, and the letters beyond ASCII that have lower-case forms in it.
+INSIDE = np.zeros(256, bool)
+INSIDE[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
+FOLDED = {"\u0130": "i\u0307", "\u212a": "k"}
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.LargeStringArray]:
+    """The row and the word of each run of [a-z0-9] in the lower-cased texts; null texts have none."""
+    low = texts.cast(pa.large_string()).fill_null("")
+    for letter, lower in FOLDED.items():
+        low = pc.replace_substring(low, letter, lower)
+    low = pc.ascii_lower(low)
+    _, ends, data = low.buffers()
+    cut = np.frombuffer(ends, np.int64)[low.offset : low.offset + len(low) + 1] if len(low) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[cut[0] : cut[-1]]
+    inside = INSIDE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    tops = cut[:-1][cut[:-1] < cut[-1]] - cut[0]
+    begins[tops] = inside[tops]  # a text's first byte begins a word, whatever the text before ends with
+    row = np.searchsorted(cut[1:] - cut[0], np.flatnonzero(begins), side="right")
+    letters = data[inside]
+    offsets = np.r_[np.flatnonzero(begins[inside]), len(letters)]
+    return row, pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(offsets), pa.py_buffer(letters))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt over all cores where they are read in fewer pieces than these, as small files are; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.rdd().getNumPartitions() < cores else rows
 
 
 def postings(chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -37,21 +64,20 @@ def postings(chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, dl, first, term, tf = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                counts = Counter(WORD.findall((text or "").lower())) or {None: 0}
-                size = sum(counts.values())
-                row += [i] * len(counts)
-                dl += [size] * len(counts)
-                first += [True] + [False] * (len(counts) - 1)
-                term += counts.keys()
-                tf += counts.values()
-            at = pa.array(row, pa.int64())
-            columns = [batch.column(k).take(at) for k in keys] + [pa.array(dl, pa.int64()), pa.array(first, pa.bool_()), pa.array(term, pa.string()), pa.array(tf, pa.int64())]
+            row, word = words_of(batch.column("text"))
+            coded = word.dictionary_encode()
+            size = np.bincount(row, minlength=len(batch))
+            pair, tf = np.unique(row * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
+            row, code = np.divmod(pair, max(1, len(coded.dictionary)))
+            none = np.flatnonzero(size == 0)  # a row each, without a word
+            at = np.r_[row, none]
+            term = pa.array(np.r_[code, none * 0], mask=np.arange(len(at)) >= len(row))
+            first = np.r_[np.diff(row, prepend=-1) != 0, none >= 0]
+            columns = [batch.column(k).take(pa.array(at)) for k in keys] + [pa.array(size[at]), pa.array(first), coded.dictionary.take(term).cast(pa.string()), pa.array(np.r_[tf, none * 0])]
             yield pa.RecordBatch.from_arrays(columns, [*keys, "dl", "first", "term", "tf"])
 
     kinds = ", ".join(f"{k} {chunks.schema[k].dataType.simpleString()}" for k in keys)
-    return chunks.select(*keys, "text").mapInArrow(of, f"{kinds}, dl long, first boolean, term string, tf long")
+    return spread(chunks.select(*keys, "text")).mapInArrow(of, f"{kinds}, dl long, first boolean, term string, tf long")
 
 
 def asked_words(questions: DataFrame) -> DataFrame:

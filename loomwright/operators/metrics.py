@@ -47,13 +47,12 @@ def psi(base: DataFrame, recent: DataFrame, value: str, bins: int = 10, eps: flo
     """Population stability index over quantile bins of ``base``; open at both ends."""
     names = {f"c{i}": i / bins for i in range(1, bins)}
     cuts = exact_quantiles(base, [], value, cont=names).select(F.array(*names).alias("cuts"))
-    def dist(df: DataFrame, name: str) -> DataFrame:
-        binned = df.crossJoin(F.broadcast(cuts)).select(F.size(F.filter("cuts", lambda c: c <= F.col(value))).alias("bin"))
-        counts = binned.groupBy("bin").agg(F.count("*").alias("c"))
-        return counts.select("bin", (F.col("c") / F.sum("c").over(Window.partitionBy())).alias(name))
-    both = dist(base, "b").join(dist(recent, "r"), "bin", "full")
-    clip = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(eps))
-    out = both.agg(F.round(F.sum((clip("r") - clip("b")) * F.log(clip("r") / clip("b"))), 4).alias("psi"))
+    rows = base.select(F.col(value), F.lit(True).alias("_base")).unionByName(recent.select(F.col(value), F.lit(False).alias("_base")))
+    binned = rows.crossJoin(F.broadcast(cuts)).select("_base", F.size(F.filter("cuts", lambda c: c <= F.col(value))).alias("bin"))
+    counts = binned.groupBy("bin").agg(F.count_if("_base").alias("b"), F.count_if(~F.col("_base")).alias("r"))
+    share = lambda c: F.greatest(F.coalesce(F.try_divide(F.col(c), F.sum(c).over(Window.partitionBy())), F.lit(0.0)), F.lit(eps)).alias(c)
+    shares = counts.select(share("b"), share("r"))  # a row a bin
+    out = shares.agg(F.round(F.sum((F.col("r") - F.col("b")) * F.log(F.col("r") / F.col("b"))), 4).alias("psi"))
     return out.withColumn("status", F.when(F.col("psi") < 0.1, "estavel").when(F.col("psi") < 0.25, "moderado").otherwise("severo"))
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Groups of up to so many rows are ranked as they are; of larger ones, cells of up to so many.
-SMALL = 10_000
+#: Groups of up to so many rows are ranked as they are, in a few MB; of larger ones, cells of up to so many.
+SMALL = 1 << 18
 #: Cells of a round, as a power of two: a value's 64 bits are settled in six rounds at most.
 BITS = 12
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
@@ -191,17 +191,16 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, disc: dict[str,
         same &= F.col(f"_g{i}").eqNullSafe(F.col(c))
     names = [f"_g{i}" for i in range(len(by))]
     inside = few.join(known, same, "left").select(*names, "_n", F.col(value).cast("double").alias("_v"), F.row_number().over(Window.partitionBy(*names).orderBy(value)).alias("_at"))
-    pick = lambda at: F.max(F.when(F.col("_at") == at, F.col("_v")))
-    out = []
-    for name, p in disc.items():
-        out.append(pick(F.greatest(F.ceil(F.lit(p) * F.col("_n")), F.lit(1))).alias(name))
-    for name, p in cont.items():
-        at = F.lit(p) * (F.col("_n") - 1)
-        out += [pick(F.floor(at) + 1).alias(f"_lo_{name}"), pick(F.ceil(at) + 1).alias(f"_hi_{name}"), F.max(at).alias(f"_at_{name}")]
+    # as text: an expression built piece by piece costs more than a small group's rows
+    pick = lambda at: f"max(CASE WHEN _at = {at} THEN _v END)"
+    out = [F.expr(f"{pick(f'greatest(ceil({p!r}D * _n), 1)')} AS `{name}`") for name, p in disc.items()]
+    for i, p in enumerate(cont.values()):
+        at = f"{p!r}D * (_n - 1)"
+        out.append(F.expr(f"struct({pick(f'floor({at}) + 1')} AS lo, {pick(f'ceil({at}) + 1')} AS hi, max({at}) AS at) AS _c{i}"))
     picked = inside.groupBy(*names).agg(*out)
     between = [
-        F.when(F.col(f"_lo_{n}") == F.col(f"_hi_{n}"), F.col(f"_lo_{n}"))
-        .otherwise((F.ceil(f"_at_{n}") - F.col(f"_at_{n}")) * F.col(f"_lo_{n}") + (F.col(f"_at_{n}") - F.floor(f"_at_{n}")) * F.col(f"_hi_{n}")).alias(n) for n in cont
+        F.expr(f"CASE WHEN _c{i}.lo = _c{i}.hi THEN _c{i}.lo ELSE (ceil(_c{i}.at) - _c{i}.at) * _c{i}.lo + (_c{i}.at - floor(_c{i}.at)) * _c{i}.hi END AS `{name}`")
+        for i, name in enumerate(cont)
     ]
     result = picked.select(*(F.col(n).alias(c) for n, c in zip(names, by)), *disc, *between)
     if not large:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import security, text
 from ..operators import clauses, forecast, metrics, passages, quantiles, retrieval, star
+from ..sources import files
 from ..streaming import masking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +22,7 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return files.read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
 
 
 def query(sql: str | None = None):

@@ -6,6 +6,7 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import extract, text
 from ..operators import learn, quantiles, retrieval, star
@@ -15,20 +16,19 @@ from .registry import places as passage_places
 
 # --- written and read again ----------------------------------------------------------------------
 
-_PARTITIONED: dict[tuple[str, str, int], str] = {}
+_PARTITIONED: dict[tuple, tuple[str, StructType]] = {}
 
 
 def by_year(t):
     """Orders in a folder for each year, written once in a session for each state of the tables' file."""
-    place = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.sf_dir}/orders.parquet")
-    made = place.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(place).getModificationTime()
-    key = (t.spark.sparkContext.applicationId, t.sf_dir, made)
-    if key not in _PARTITIONED:
+    key = (t.spark.sparkContext.applicationId, files.file_state(t.spark, f"{t.sf_dir}/orders.parquet"))
+    if key[1] is None or key not in _PARTITIONED:
         path = sinks.scratch(t.spark, "orders")
         dealt = t.orders.withColumn("year", F.year("o_orderdate")).repartition("year", F.pmod(F.xxhash64("o_orderkey"), F.lit(4)))  # a year to four tasks
         files.write_partitioned(dealt, path, "year")
-        _PARTITIONED[key] = path
-    return t.spark.read.parquet(_PARTITIONED[key])
+        _PARTITIONED[key] = path, dealt.schema
+    path, schema = _PARTITIONED[key]
+    return t.spark.read.schema(schema).parquet(path)
 
 
 @query("SELECT o_orderpriority AS priority, count(*) AS n, count(DISTINCT o_custkey) AS n_customers FROM orders WHERE year(o_orderdate) = 1999 GROUP BY 1")

@@ -8,11 +8,33 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .sinks import written
 
 
+#: Schemas of Parquet files by path, time of change and length.
+_SCHEMAS: dict[tuple[str, int, int], StructType] = {}
+
+
+def file_state(spark: SparkSession, path: str) -> tuple[str, int, int] | None:
+    """(path, time of change, length) of a single file; nothing for a folder, whose files change without it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    return (path, status.getModificationTime(), status.getLen()) if status.isFile() else None
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. Its footer is read by a job of its own once for each state of the file; a folder's each time."""
+    state = file_state(spark, path)
+    if state is None:
+        return spark.read.parquet(path)
+    if state not in _SCHEMAS:
+        _SCHEMAS[state] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[state]).parquet(path)
+
+
 def read_csv_latin1(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
     """``;`` separated ISO-8859-1 files as text, missing values empty, with the file's name in ``file``.
 

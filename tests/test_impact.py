@@ -81,6 +81,13 @@ def test_questions_in_parts_and_no_rows(spark, monkeypatch):
     assert got(impact.bm25(chunks.limit(0), questions, 3)) == got(impact.bm25(chunks, questions.limit(0), 3)) == []
 
 
+def test_words_of_a_batch_are_those_of_each_text():
+    texts = ["", None, "a", "b", "Ab-9c", "\u0130st \u212aelvin \u0130", "caf\u00e9 na\u00efve \u65e5x", "  end", "x" * 5000, "", "Z"]
+    for some in (pa.array(texts, pa.string()), pa.array(["no", *texts, "no"], pa.string()).slice(1, len(texts)), pa.array(["", None], pa.string()), pa.array([], pa.string())):
+        row, word = impact.words_of(some)
+        assert list(zip(row.tolist(), word.to_pylist())) == [(i, w) for i, t in enumerate(some.to_pylist()) for w in re.findall("[a-z0-9]+", (t or "").lower())]
+
+
 def test_few_documents_are_scored():
     """A question with rare words: most documents of a block are never scored to the end."""
     rng = np.random.default_rng(2)
