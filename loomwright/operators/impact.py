@@ -52,9 +52,12 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.LargeStringArray]:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt over all cores where they are read in fewer pieces than these, as small files are; else as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows._jdf.rdd().getNumPartitions() < cores else rows
+    """``rows`` dealt over all cores where the planner expects fewer splits than these, as of small files; else
+    as they are, so that large inputs are not shuffled."""
+    spark = rows.sparkSession
+    expected = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if expected < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else rows
 
 
 def postings(chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
