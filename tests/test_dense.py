@@ -27,3 +27,26 @@ def test_blocks_rank_as_all_pairs(spark, monkeypatch, asked, key):
 def test_no_questions_and_no_vectors(spark):
     v, q = spark.createDataFrame([(1, [1.0])], "chunk_id long, v array<double>"), spark.createDataFrame([(1, [1.0])], "query_id long, q array<double>")
     assert retrieval.dense(v.limit(0), q, 3).count() == retrieval.dense(v, q.limit(0), 3).count() == 0
+
+
+def test_letters_are_counted_in_one_pass(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    texts = [None, "", "YZ 9", "abcA xİKÉ", "é日b", "Letters " * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts * 8)), "i int, t string").select("i", retrieval.letters(F.col("t")).alias("v"))
+    began = time.monotonic()
+    got = {r["i"]: r["v"] for r in df.collect()}
+    assert time.monotonic() - began < 30  # each letter once for each share, as before, takes minutes
+    for i, t in enumerate(texts * 8):
+        counts = [(t or "").lower().count(chr(97 + j)) for j in range(24)]
+        norm = sum(c * c for c in counts) ** 0.5
+        assert got[i] == [c / norm if norm else 0.0 for c in counts]
+
+
+def test_vectors_of_a_small_file_are_made_on_all_cores(spark, tmp_path):
+    spark.createDataFrame([(i, f"word {i}") for i in range(40)], "chunk_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    chunks = spark.read.parquet(f"{tmp_path}/t")
+    assert chunks.rdd.getNumPartitions() == 1
+    assert retrieval.embedded(chunks).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
