@@ -113,3 +113,40 @@ def test_distractors_are_chunks_that_were_not_found(spark):
     assert sorted((r["query_id"], r["chunk_id"]) for r in got if not r["distractor"]) == [(q, 0) for q in (1, 2, 3, 4)]
     drawn = {r["query_id"]: r["chunk_id"] for r in got if r["distractor"]}
     assert set(drawn) == {1, 2, 4} and drawn[2] == 22 and not {(q, c) for q, c, _ in ranking} & set(drawn.items())
+
+
+def counting(spark, monkeypatch):
+    """The function that counts the words of batches in tasks."""
+    seen = []
+
+    class Rows:
+        def mapInArrow(self, f, kinds):  # noqa: N802
+            seen.append(f)
+
+    monkeypatch.setattr(impact, "spread", lambda rows: Rows())
+    impact.postings(spark.createDataFrame([], "chunk_id long, text string"))
+    return seen[0]
+
+
+def test_memory_does_not_grow_with_a_batch(spark, monkeypatch):
+    """A batch of 10,000 texts, which larger tables fill, takes no more than its pieces do."""
+    import tracemalloc
+
+    of, text = counting(spark, monkeypatch), " ".join(f"w{i * i % 997}" for i in range(500))
+    batch = pa.RecordBatch.from_pydict({"chunk_id": list(range(10_000)), "text": [text] * 10_000})
+    tracemalloc.start()
+    rows = sum(len(out) for out in of(iter([batch])))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert rows == 10_000 * len(set(text.split())) and peak < 40 << 20
+
+
+def test_pieces_count_as_whole_batches(spark, monkeypatch):
+    texts = ["", None, "a b a", "long " * 50, "", None, "c" * 90, "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(["no", *texts, "no"])], ["chunk_id", "text"]).slice(1, 8)
+    of = counting(spark, monkeypatch)
+    whole = [r for out in of(iter([batch])) for r in out.to_pylist()]
+    monkeypatch.setattr(impact, "TEXTS", 10)
+    some = [r for out in of(iter([batch])) for r in out.to_pylist()]
+    key = lambda r: (r["chunk_id"], r["term"] or "")
+    assert len({r["chunk_id"] for r in some}) == 8 and sorted(whole, key=key) == sorted(some, key=key)
