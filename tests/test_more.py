@@ -57,6 +57,39 @@ def test_mask_stream(spark, tmp_path):
     assert "".join(pieces) == masking.mask(TEXT) and len(pieces) > 1
 
 
+def test_neighbouring_fragments_are_joined():
+    import pyarrow as pa
+
+    rows = [(1, 0, "a", None), (1, 1, None, False), (1, 2, "b", True), (1, 4, "d", False), (2, 5, "e", None), (2, 5, "f", False), (None, 6, "g", False), (None, 7, "h", True), (2**60, 0, "i", False), (2**60 + 1, 1, "j", None), (3, None, "k", None)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(9, 9, "no", True), *rows]), (pa.int64(), pa.int32(), pa.string(), pa.bool_()))], ["stream_id", "pos", "piece", "last"]).slice(1)
+    got = [tuple(r.values()) for out in masking.joined(iter([batch.slice(0, 0), batch])) for r in out.to_pylist()]
+    assert got == [(1, 0, "ab", True), *((*r[:3], bool(r[3])) for r in rows[3:])]
+
+
+def test_a_whole_stream_asks_for_state_once():
+    """Every call of state is an exchange with the executor: a stream that comes whole asks for what is held, and no more."""
+    calls = []
+
+    class State:
+        kept = None
+
+        def __getattr__(self, name):
+            calls.append(name)
+            if name == "update":
+                return lambda value: setattr(self, "kept", value)
+            return lambda *a: self.kept if name == "get" else self.kept is not None if name == "exists" else []
+
+    m, clock = masking.Masker(1000), type("Clock", (), {"getCurrentProcessingTimeInMs": lambda self: 0})()
+    m.handle, m.held = State(), State()
+    pieces = lambda a, z: iter([(7, i, TEXT[i * 5 : i * 5 + 5], i == n - 1) for i in reversed(range(a, z))] + [(7, a, None, None)])
+    n = -(-len(TEXT) // 5)
+    assert [r["text"] for r in m.handleInputRows((7,), pieces(0, n), clock)] == [masking.mask(TEXT)] and calls == ["get"]
+    first = [r["text"] for r in m.handleInputRows((7,), pieces(0, n // 2), clock)]
+    assert m.held.kept and "registerTimer" in calls
+    rest = [r["text"] for r in m.handleInputRows((7,), pieces(n // 2, n), clock)]
+    assert "".join(first + rest) == masking.mask(TEXT) and calls[-1] == "clear"
+
+
 def test_forecasts():
     t = np.arange(120)
     y = 1000 + 8 * t + 200 * np.sin(2 * np.pi * t / 12)
