@@ -71,8 +71,8 @@ def walk(passages: Broadcast, name: str, key: str, text: str, rows: int = 50_000
                 columns = [keys.take(pa.array(row, pa.int64())), pa.array(digest, pa.binary()), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
                 return pa.RecordBatch.from_arrays(columns, ["_key", "_digest", "start", "end"])
 
-            for row, said in enumerate(batch.column(text).to_pylist()):
-                for last, (digest, size) in found.iter(said):
+            for row, said in enumerate(batch.column(text)):  # one text at a time as a string
+                for last, (digest, size) in found.iter(said.as_py()):
                     met.append((row, digest, last + 1 - size, last + 1))
                     if len(met) == rows:
                         yield out()

@@ -46,3 +46,18 @@ def test_overlaps_by_bins(spark, size):
     got = passages.overlapping(spark.createDataFrame(spans, "k long, start int, end int"), spark.createDataFrame(windows, "k long, from int, to int, n int"), "k", size)
     want = sorted((k, a, z, f, t, n) for k, a, z in spans for j, f, t, n in windows if k == j and a < t and f < z and a < z and f < t)
     assert sorted((r["k"], r["start"], r["end"], r["from"], r["to"], r["n"]) for r in got.collect()) == want
+
+
+def test_texts_of_a_batch_are_walked_one_by_one():
+    """The strings of a whole batch, which larger tables fill, are not made at once."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(4000)), "t": ["filler word " * 500] * 4000})
+    tracemalloc.start()
+    rows = sum(len(out) for out in passages.walk(SimpleNamespace(value=["absent", "er w"]), "test", "k", "t", 1000)(iter([batch.slice(0, 10), batch])))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert rows == 4010 * 500 and peak < 8 << 20
